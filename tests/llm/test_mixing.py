@@ -1,0 +1,75 @@
+import math
+import re
+from collections import defaultdict
+
+from motiflake.llm import mixing
+
+from .data import ODD, documents, texts
+
+
+def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """sizes by source, in order; shares again and again until none is above its cap."""
+    w = {s: weights[i % 3] for i, s in enumerate(sizes)}
+    total, out, open_ = share * sum(sizes.values()), {}, set(sizes)
+    while True:
+        rest, ws = total - sum(out.values()), sum(w[s] for s in open_)
+        over = [s for s in open_ if rest * w[s] / ws >= most * sizes[s]] if ws else []
+        if not over:
+            return out | {s: rest * w[s] / ws for s in open_}
+        out |= {s: most * sizes[s] for s in over}
+        open_ -= set(over)
+
+
+def check(rows, found):
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((r.doc_id or -1, r.size) for r in found) == sorted((i or -1, count(t)) for i, t, *_ in rows)
+    sizes = defaultdict(int)
+    for _, t, _, s in sorted(rows, key=lambda r: (r[3] is None, (r[3] or "").encode())):
+        sizes[s] += count(t)
+    want = targets(sizes)
+    by_id = {i: s for i, _, _, s in rows}
+    got = defaultdict(int)
+    for r in found:
+        s = by_id[r.doc_id]
+        assert r.source_size == sizes[s] and math.isclose(r.target, want[s], rel_tol=1e-9) and 0 <= r.taken <= 2 * r.size
+        assert r.taken >= int(want[s] / max(1, sizes[s])) * r.size
+        got[s] += r.taken
+    assert all(abs(got[s] - want[s]) <= 0.5 + 1e-6 for s in want if sizes[s])
+
+
+def test_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    found = mixing.query(spark, sf).collect()
+    check(texts(spark, sf), found)
+    assert sorted(found) == sorted(mixing.query(spark, sf).collect())
+
+
+def test_odd_rows_and_empty_table(spark, tmp_path):
+    check(ODD, mixing.query(spark, documents(spark, tmp_path / "odd")).collect())
+    assert mixing.query(spark, documents(spark, tmp_path / "none", [])).collect() == []
+
+
+def test_selection_follows_the_keys(spark):
+    """Of the part beyond complete epochs, no document is taken before one of a smaller key of its source."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 50), None, f"s{i % 4}") for i in range(4000)], "doc_id long, text string, lang string, source string")
+    rows = mixing.sized(docs)
+    found = mixing.taken(rows, mixing.fit(spark, rows)).collect()
+    for s in {r.src for r in found}:
+        part = [r.part / r.size for r in sorted((r for r in found if r.src == s), key=lambda r: r.key)]
+        assert part == sorted(part, reverse=True) and sum(0 < p < 1 for p in part) <= 1
+
+
+def test_weights_draw_more_often(spark):
+    good, bad = ("abcde " * 20).strip(), "a " * 20
+    docs = spark.createDataFrame([(i, good if i % 2 else bad, None, "s0" if i < 3000 else f"s{i % 5 + 1}") for i in range(9000)], "doc_id long, text string, lang string, source string")
+    rows = mixing.sized(docs)
+    first = [r for r in rows.filter("src = 's1'").orderBy("key").limit(300).collect()]
+    assert sum(r.row.doc_id % 2 for r in first) > 180
+
+
+def test_mixed_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = mixing.mixed(spark, docs)
+    assert out.columns == docs.columns
+    n = out.groupBy("doc_id").count().collect()
+    assert max(r["count"] for r in n) <= 2

@@ -1,0 +1,77 @@
+import re
+
+import numpy as np
+import xxhash
+
+from motiflake.llm import simhash
+
+from .data import ODD, documents, texts
+
+
+def brute_fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def brute_components(ids, fps):
+    f = np.array(fps, dtype=np.uint64)
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 3
+    label = list(range(len(ids)))
+    find = lambda x: x if label[x] == x else find(label[x])
+    for i, j in zip(*np.nonzero(near), strict=True):
+        label[find(int(i))] = find(int(j))
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+def check(rows, found):
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    fps = [brute_fingerprint(t) for _, t, *_ in rows]
+    want = zip([r[0] for r in rows], [f"{f:016x}" for f in fps], brute_components([r[0] for r in rows], fps), strict=True)
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in found), key=lambda r: (r[1], key(r[::2]))) == sorted(want, key=lambda r: (r[1], key(r[::2])))
+
+
+def test_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    found = simhash.query(spark, sf).collect()
+    check(texts(spark, sf), found)
+    assert any(r.doc_id != r.component_id for r in found)
+
+
+def test_odd_rows_and_empty_table(spark, tmp_path):
+    rows = [r if len(r[1] or "") < 50_000 else (r[0], "short", *r[2:]) for r in ODD]
+    check(rows, simhash.query(spark, documents(spark, tmp_path / "odd", rows)).collect())
+    assert len(simhash.query(spark, documents(spark, tmp_path / "long")).collect()) == len(ODD)
+    assert simhash.query(spark, documents(spark, tmp_path / "none", [])).collect() == []
+
+
+def test_links_are_all_pairs_within_three_bits_each_once(spark):
+    rng = np.random.default_rng(1)
+    seeds = rng.integers(0, 2**63, 30, dtype=np.uint64)
+    fps = {int(x) for x in seeds}
+    for x in seeds:
+        for _ in range(30):
+            y = int(x)
+            for b in rng.integers(0, 64, rng.integers(1, 5)):
+                y ^= 1 << int(b)
+            fps.add(y)
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    got = sorted((r.a, r.b) for r in simhash.links(spark.createDataFrame(signed, "fp long")).collect())
+    want = sorted((a, b) for (a,) in signed for (b,) in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    assert got == want and len(got) > 1000
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
+    got = {r.node: r.root for r in simhash.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 100 for i in range(101, 161)) and all(got[i] == 500 for i in range(501, 560))
+
+
+def test_one_document_of_each_group_stays(spark):
+    docs = spark.createDataFrame([(i, f"the same long text again and again {i % 3 * 'x y z '}", "en", "a", 1) for i in range(9)] + [(3, "the same long text again and again ", "en", "a", 1), (None, "lonely", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id or -1) for r in simhash.deduplicated(spark, docs).collect()) in ([-1, -1, 1, 2], [-1, 0, 1, 2], [-1, -1, 1])
