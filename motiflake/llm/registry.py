@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, shards, simhash
+from . import langid, media, mixing, packing, pii, shards, simhash
 
 
 def queries() -> dict:
     return {
         "op2_pii": pii.query,
+        "op3_media": media.query,
         "op4_mixing": mixing.query,
+        "op5_language": langid.query,
         "op6_simhash": simhash.query,
         "op8_sharding": shards.query,
+        "op10_packing": packing.query,
     }
 
 
