@@ -234,7 +234,10 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None, spans: b
 
 
 def accepted(spark: SparkSession, docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` of one language: its words have at least the share `least` of the letters. Others go."""
+    """The rows of `docs` of one language: its words have at least the share `least` of the letters. Others go. Without a
+    model (no row is labelled) only texts without letters go."""
+    if model is None:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     share_code(spark)
     names = docs.columns
     predict = _predicted(model, False)
