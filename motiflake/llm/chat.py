@@ -40,7 +40,7 @@ SAMPLE, UNIT = 20_000, 1_000
 #: Log-probability of a marker given its speaker, of another, and of a switch within a row, before any counts.
 MARKED, STRANGE, SWITCH = -1.0, -40.0, 0.001
 #: Rows of a piece, about, and how many pieces there are at least and at most.
-PIECE_ROWS, PIECES = 20_000, (64, 1_000)
+PIECE_ROWS, PIECES = 20_000, (64, 20_000)
 
 
 def split(text: str | None) -> list[tuple[str, str | None]]:

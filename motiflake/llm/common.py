@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import json
+import math
 import os
 import tempfile
 from pathlib import Path
@@ -71,12 +73,20 @@ def splitters(ranks: DataFrame, keys: list[str], n: int, pieces: int, rank: str
 
 
 def piece_of(keys: list[Column], types: list[str], cuts: list[tuple]) -> Column:
-    """The number of `cuts` at or below the row's key: the piece that holds the row."""
+    """The number of `cuts` (in order) at or below the row's key: the piece that holds the row.
+
+    Two steps of about the root of their number: the block of cuts that the key falls in, then the cuts of that block."""
     if not cuts:
         return F.lit(0)
-    row = F.struct(*[k.cast(t).alias(f"c{i}") for i, (k, t) in enumerate(zip(keys, types, strict=True))])
-    table = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(c, types, strict=True))]) for c in cuts])
-    return F.size(F.filter(table, lambda c: c <= row))
+    names = [f"c{i}" for i in range(len(keys))]
+    kind = "struct<" + ", ".join(f"{n}: {t}" for n, t in zip(names, types, strict=True)) + ">"
+    row = F.struct(*[k.cast(t).alias(n) for k, t, n in zip(keys, types, names, strict=True)])
+    rows = [dict(zip(names, c, strict=True)) for c in cuts]
+    step = math.isqrt(len(rows) - 1) + 1
+    blocks = [rows[i : i + step] for i in range(0, len(rows), step)]
+    block = F.size(F.filter(F.from_json(F.lit(json.dumps([x[0] for x in blocks])), f"array<{kind}>"), lambda c: c <= row))
+    inside = F.get(F.from_json(F.lit(json.dumps(blocks)), f"array<array<{kind}>>"), block - 1)
+    return F.when(block == 0, 0).otherwise((block - 1) * step + F.size(F.filter(inside, lambda c: c <= row)))
 
 
 def running(by: list[str], order: list[str], value: str) -> Column:

@@ -31,6 +31,8 @@ _ATTRIBUTE = re.compile(r"""([A-Za-z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 _NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|side-bar|comments?|disqus|replies|respond|nav|navbar|navigation|navi|menu|breadcrumbs?|footer|header|masthead|topbar|share|sharing|social|related|widget|toolbar|pagination|pager|search|contentinfo|complementary)(?:$|[\s_-])", re.I)
 #: Above this share of a page's own characters, its neighbour is a copy, and what they share says nothing.
 COPY = 0.5
+#: Pages of a piece, about, and how many pieces there are at least and at most.
+PIECE_ROWS, PIECES = 2_000, (64, 50_000)
 _SPACE = re.compile(r"\s+")
 
 MAIN, OTHER, NOISE = range(3)
@@ -226,7 +228,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     keys, types = ["host", "path", "id_"], ["string", "string", "long"]
     places = ranked(spark, pages.select(host.alias("host"), path.alias("path"), id_.alias("id_")), keys)
     n = places.count()
-    cuts = splitters(places, keys, n, min(1_000, max(64, n // 10_000)))
+    cuts = splitters(places, keys, n, min(PIECES[1], max(PIECES[0], n // PIECE_ROWS)))
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"), path.alias("path"), id_.alias("id_"))
     rows = rows.withColumn("piece", piece_of([F.col(k) for k in keys], types, cuts))
     rows = rows.repartition("piece").sortWithinPartitions("piece", *keys, "url").select("page_id", "url", "html", "piece", "host", "path")
