@@ -1,0 +1,153 @@
+import gzip
+import random
+
+import pytest
+from pyspark.errors import PySparkException
+
+from motiflake import cli
+from motiflake.operators.search import ordered, search
+from motiflake.plans.pattern import SearchQuery
+from motiflake.sources import fastx, tsv
+
+from .test_search import brute
+
+FASTA = ">seq1 description\nATG\nCCC\n"
+FASTQ = "@read1 description\nAT\nGC\n+\n!!\n!!\n"
+
+
+def put(path, text):
+    with (gzip.open if path.name.lower().endswith(".gz") else open)(path, "wb") as f:
+        f.write(text.encode())
+    return str(path)
+
+
+def records(text, fmt):
+    return list(fastx._PARSERS[fmt](text.splitlines(keepends=True)))
+
+
+@pytest.mark.parametrize("name", ["a.fa", "a.fa.gz", "A.FA.GZ", "a.fasta", "a.fna", "a.ffn", "a.frn"])
+def test_fasta_files(spark, tmp_path, name):
+    rows = fastx.read_fastx(spark, put(tmp_path / name, FASTA)).collect()
+    assert [(r.name, r.sequence, r.record_ord) for r in rows] == [("seq1", "ATGCCC", 0)]
+
+
+@pytest.mark.parametrize("name", ["r.fq", "r.fastq", "r.fastq.gz"])
+def test_fastq_files(spark, tmp_path, name):
+    rows = fastx.read_fastx(spark, put(tmp_path / name, FASTQ)).collect()
+    assert [(r.name, r.sequence) for r in rows] == [("read1", "ATGC")]
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\r"])
+def test_newlines(spark, tmp_path, newline):
+    path = put(tmp_path / "n.fa", f">a x{newline}AC{newline}{newline}gt {newline}>b{newline}>a{newline}N{newline}".replace("\n", newline) if newline != "\n" else ">a x\nAC\n\ngt \n>b\n>a\nN\n")
+    rows = fastx.read_fastx(spark, path).orderBy("record_ord").collect()
+    assert [(r.name, r.sequence) for r in rows] == [("a", "ACGT"), ("b", ""), ("a", "N")]
+
+
+def test_fasta_details():
+    assert records("\n  >  s1 more\n AC \n GT\n>empty\n", "fasta") == [("s1", "ACGT"), ("empty", "")]
+    assert records("", "fasta") == [] and records("\n \n", "fasta") == []
+    with pytest.raises(ValueError, match="before the first header"):
+        records("ACGT\n>a\n", "fasta")
+    with pytest.raises(ValueError, match="no name"):
+        records(">\nAC\n", "fasta")
+
+
+def test_fastq_details():
+    assert records("@a\nAC GT\n+a\n@++++\n\n@b\nA\n+\n@\n", "fastq") == [("a", "AC GT"), ("b", "A")]
+    for text, message in [
+        ("@read1\nATGC\n+\n!!!\n", "'read1' ended before quality block was complete"),
+        ("@r\nAT\n+\n!!!\n", "'r' has quality length 3, expected 2"),
+        ("@r\nAT\n", r"'r' is missing '\+' quality header"),
+        ("@r\n+\n\n", "'r' has an empty sequence"),
+        ("r\nAT\n", "must start with '@' near line 1"),
+        ("  \n@r\n", "must start with '@' near line 1"),
+        ("@\nA\n+\n!\n", "no name"),
+    ]:
+        with pytest.raises(ValueError, match=message):
+            records(text, "fastq")
+
+
+def test_format_inference():
+    for path, want in [("x.FA", "fasta"), ("x.y.fna.gz", "fasta"), ("x.fq", "fastq"), ("d.fa/x.FASTQ.GZ", "fastq")]:
+        assert fastx.infer_format(path) == want
+    assert fastx.infer_format("reads.txt", "fastq") == "fastq"
+    for path, fmt, message in [("reads", "auto", "no suffix"), ("reads.gz", "auto", "no suffix"), ("p.faa", "auto", "'.faa' is unknown"), ("x.fa", "bam", "Unsupported sequence format: bam")]:
+        with pytest.raises(ValueError, match=message):
+            fastx.infer_format(path, fmt)
+
+
+def test_folders_and_missing_files(spark, tmp_path):
+    for i in range(3):
+        put(tmp_path / f"{i}.fa", f">r{i}\nACGT\n")
+    assert sorted(r.name for r in fastx.read_fastx(spark, str(tmp_path)).collect()) == ["r0", "r1", "r2"]
+    assert fastx.read_fastx(spark, f"{tmp_path}/[01].fa").count() == 2
+    with pytest.raises((PySparkException, FileNotFoundError), match="No such file"):
+        fastx.read_fastx(spark, f"{tmp_path}/none.fa").collect()
+
+
+def test_parse_errors_reach_the_query(spark, tmp_path):
+    with pytest.raises(PySparkException, match="ended before quality block was complete"):
+        fastx.read_fastx(spark, put(tmp_path / "bad.fq", "@read1\nATGC\n+\n!!!\n")).collect()
+
+
+def test_large_fasta_reader(spark, tmp_path):
+    path = put(tmp_path / "big.fa", "".join(f">r{i} d\n" + "ACGTN\n" * (i % 7) for i in range(500)))
+    want = {(r.name, r.sequence) for r in fastx.read_fastx(spark, path).collect()}
+    assert {(r.name, r.sequence) for r in fastx.read_large_fasta(spark, path).collect()} == want and len(want) == 500
+
+
+@pytest.mark.parametrize(("pattern", "options"), [("GANTC", {"ambig_mode": "query", "revcomp": True, "circular": True}), ("AA", {"ambig_mode": "both"}), ("CTGCAG", {"revcomp": True}), ("N" * 5386, {"ambig_mode": "query", "circular": True})])
+def test_a_circular_genome_from_a_file(spark, tmp_path, pattern, options):
+    genome = "".join(random.Random(174).choices("ACGT", k=5386))
+    path = put(tmp_path / "genome.fa.gz", ">phage circular\n" + "\n".join(genome[i : i + 70] for i in range(0, len(genome), 70)) + "\n")
+    query = SearchQuery(pattern, **options)
+    want = [h[:3] + h[4:] for h in brute(genome, query)] if len(pattern) < 100 else [("+", i + 1, (i - 1) % 5386 + 1, i > 0) for i in range(5386)]
+    for jobs in (1, 3):
+        rows = ordered(search(fastx.read_fastx(spark, path), query, jobs=jobs, chunk_size=1_000)).collect()
+        assert [(r.strand, r.start, r.end, r.circular) for r in rows] == want
+
+
+def test_tsv(spark, tmp_path):
+    found = ordered(search(spark.createDataFrame([("r", "ACGACG")], "name string, sequence string"), SearchQuery("ACG", circular=True)))
+    assert list(tsv.lines(found)) == ["r\t+\t1\t3\tACG\tfalse", "r\t+\t4\t6\tACG\tfalse"]
+    tsv.write(found, f"{tmp_path}/h", header=True)
+    (part,) = tmp_path.glob("h/part-*")
+    assert part.read_text().splitlines() == [tsv.HEADER, *tsv.lines(found)]
+    tsv.write(found, f"{tmp_path}/p")
+    assert sorted(x for f in tmp_path.glob("p/part-*") for x in f.read_text().splitlines()) == list(tsv.lines(found))
+
+
+def run(capsys, *argv):
+    code = cli.main([str(x) for x in argv])
+    out, err = capsys.readouterr()
+    return code, out, err
+
+
+def test_command_line(spark, tmp_path, capsys):
+    path = put(tmp_path / "x.fa", ">b\nCCCAAATTT\n>a\nACGT\n>b\nTTTCCC\n")
+    assert run(capsys, "TTTCCC", path, "--circular", "--with-header") == (0, tsv.HEADER + "\nb\t+\t7\t3\tTTTCCC\ttrue\nb\t+\t1\t6\tTTTCCC\tfalse\n", "")
+    assert run(capsys, "ACGT", path, "--revcomp", "-j", 2, "--chunk-size", 2) == (0, "a\t+\t1\t4\tACGT\tfalse\na\t-\t1\t4\tACGT\tfalse\n", "")
+    assert run(capsys, "GGGG", path) == (0, "", "")
+    code, out, err = run(capsys, "A", tmp_path / "none.fa", "--with-header")
+    assert (code, out) == (1, tsv.HEADER + "\n") and err.startswith("motiflake: ") and "none.fa" in err
+    assert run(capsys, "AX", path) == (1, "", "motiflake: Unsupported nucleotide symbol 'X' at position 2\n")
+    bad = put(tmp_path / "bad.fa", ">a\nACX\n")
+    assert run(capsys, "A", bad) == (1, "", "motiflake: Unsupported nucleotide symbol 'X' at position 3\n")
+    broken = put(tmp_path / "broken.fq", "@read1\nATGC\n+\n!!!\n")
+    code, out, err = run(capsys, "A", broken)
+    assert (code, out) == (1, "") and "ended before quality block was complete" in err
+    assert run(capsys, "A", put(tmp_path / "x.faa", ">a\nA\n"))[0] == 1
+
+
+def test_defaults_and_bad_options(capsys):
+    args = cli.parse_args(["ATG", "x.fa"])
+    assert (args.sequence_type, args.ambig_mode, args.ambig, args.jobs, args.chunk_size, args.format) == ("nucleotide", "none", False, 1, 1_000_000, "auto")
+    assert cli.parse_args(["ATN", "x.fa", "--ambig"]).ambig_mode == "query"
+    for bad in (["--ambig", "--ambig-mode", "both"], ["-t", "amino-acid", "--ambig"], ["-t", "amino-acid", "--ambig-mode", "both"], ["-t", "amino-acid", "--revcomp"], ["--jobs", "0"], ["--chunk-size", "0"]):
+        with pytest.raises(SystemExit) as e:
+            cli.parse_args(["ATG", "x.fa", *bad])
+        assert e.value.code == 2
+    with pytest.raises(SystemExit) as e:
+        cli.parse_args(["--version"])
+    assert e.value.code == 0
