@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running_sums
 from .common import read
 
 
@@ -41,8 +42,8 @@ BASE = tuple(k.name for k in KINDS[:4])
 ACCEPT = 0.5
 #: Characters on either side of a span that are searched for context words.
 NEAR = 40
-_SPAN = "struct<kind:string,start:int,end:int,value:string,score:double>"
-_RAW = "struct<start:int,end:int,value:string>"
+_SPAN = "struct<kind:string,start:int,end:int,value:string,score:double,byte_start:int,byte_end:int>"
+_RAW = "struct<start:int,end:int,value:string,byte_start:int,byte_end:int,around:string>"
 
 
 def _mod97(value: Column) -> Column:
@@ -68,45 +69,63 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _raw(text: Column, kind: Kind) -> Column:
-    """All matches of the kind's expression with their places in code points, leftmost and not overlapping."""
-    gaps = F.transform(F.split(text, kind.pattern, -1), F.length)
+def _proposed(text: Column, kind: Kind) -> Column:
+    return text.contains(kind.guard) if kind.guard == "@" else text.rlike(kind.guard)
+
+
+def _gaps(text: Column, kind: Kind) -> Column:
+    """What lies before the first match, between matches and after the last, in order."""
+    return F.when(_proposed(text, kind), F.split(text, kind.pattern, -1)).otherwise(F.array().cast("array<string>"))
+
+
+def _raw(text: Column, kind: Kind, gaps: Column) -> Column:
+    """All matches of the kind's expression with their places and surroundings, leftmost and not overlapping."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_RAW}>").alias("out"))
+    after = F.slice(gaps, 2, F.size(gaps))
+    none = F.lit(0)
 
-    def step(a, x):
-        begin = a["at"] + x["gap"]
-        end = begin + F.length(x["value"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.when(x["value"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out")))
+    def step(x: Column) -> Column:
+        value, gap = x["value"], x["gap"]
+        around = F.concat(F.right(gap, F.lit(NEAR)), F.lit("\n"), F.left(F.coalesce(x["after"], F.lit("")), F.lit(NEAR)))
+        return F.struct(
+            (F.length(gap) + F.coalesce(F.length(value), none)).alias("n"), (F.octet_length(gap) + F.coalesce(F.octet_length(value), none)).alias("b"), value.alias("value"), F.lower(around).alias("around")
+        )
+
+    # The last gap has no match after it: its row has no value and goes.
+    steps = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("value"), after.alias("after")), step)
+    ends = F.arrays_zip(running_sums(steps["n"]).alias("end"), running_sums(steps["b"]).alias("byte_end"))
+
+    def span(e: Column, x: Column) -> Column:
+        v = x["value"]
+        return F.struct((e["end"] - F.length(v)).alias("start"), e["end"].alias("end"), v.alias("value"), (e["byte_end"] - F.octet_length(v)).alias("byte_start"), e["byte_end"].alias("byte_end"), x["around"].alias("around"))
 
-    found = F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("value")), start, step, lambda a: a["out"])
-    proposed = text.contains(kind.guard) if kind.guard == "@" else text.rlike(kind.guard)
-    return F.when(proposed, found).otherwise(F.array().cast(f"array<{_RAW}>"))
+    spans = F.filter(F.zip_with(ends, steps, span), lambda x: x["value"].isNotNull()).cast(f"array<{_RAW}>")
+    return F.when(F.size(gaps) > 1, spans).otherwise(F.array().cast(f"array<{_RAW}>"))
 
 
-def _scored(text: Column, kind: Kind, raw: Column) -> Column:
+def _scored(kind: Kind, raw: Column) -> Column:
     kept = F.filter(raw, lambda x: _confirmed(kind.name, x["value"]))
 
     def score(x):
-        begin = F.greatest(x["start"] - NEAR, F.lit(0))
-        around = F.lower(F.concat(F.substring(text, begin + 1, x["start"] - begin), F.lit("\n"), F.substring(text, x["end"] + 1, F.lit(NEAR))))
-        value = F.lit(kind.base) + F.when(around.rlike(kind.context), F.lit(kind.raise_by)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), value.alias("score"))
+        value = F.lit(kind.base) + F.when(x["around"].rlike(kind.context), F.lit(kind.raise_by)).otherwise(F.lit(0.0))
+        return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), value.alias("score"), x["byte_start"].alias("byte_start"), x["byte_end"].alias("byte_end"))
 
     return F.filter(F.transform(kept, score), lambda x: x["score"] >= ACCEPT).cast(f"array<{_SPAN}>")
 
 
 def find_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
-    """`docs` with the column `out`: all spans (kind, start, end, value, score), by kind in the order of KINDS, then start.
+    """`docs` with the column `out`: all spans (kind, start, end, value, score, byte_start, byte_end), by kind in the order
+    of KINDS, then start.
 
-    start and end count code points, end exclusive. A null or empty text has no spans. Kinds may overlap one another.
+    start and end count code points, end exclusive; byte_start and byte_end the UTF-8 bytes. A span's context is what
+    surrounds it, up to NEAR characters a side, as far as the next span of its kind. A null or empty text has no spans. Kinds may overlap one another.
     The base kinds (BASE) are the leftmost non-overlapping matches that pass their test; iban (mod 97) and ssn (which
     needs a context word) come on top. Columns of `docs` stay as they are; one named like `out` is replaced."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    kept = [c for c in docs.columns if c.lower() != out.lower()]
-    wide = docs.select(*[F.col(f"`{c}`") for c in kept], *[_raw(whole, k).alias(f"__raw_{k.name}") for k in KINDS])
-    return wide.select(*[F.col(f"`{c}`") for c in kept], F.concat(*[_scored(whole, k, F.col(f"__raw_{k.name}")) for k in KINDS]).alias(out))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]
+    cut = docs.select(*kept, *[_gaps(whole, k).alias(f"__gaps_{k.name}") for k in KINDS])
+    raw = cut.select(*kept, *[_raw(whole, k, F.col(f"__gaps_{k.name}")).alias(f"__raw_{k.name}") for k in KINDS])
+    return raw.select(*kept, F.concat(*[_scored(k, F.col(f"__raw_{k.name}")) for k in KINDS]).alias(out))
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -115,13 +134,16 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     found = find_spans(docs, text, "__spans")
     spans = F.array_sort(F.col("__spans"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     whole = F.col(text)
+    raw = whole.cast("binary")  # bytes are cut without walking the text from its beginning
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a, x):
-        add = F.when(x["start"] >= a["at"], F.array(F.substring(whole, a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], add).alias("out"))
+        between = F.substring(raw, a["at"] + 1, x["byte_start"] - a["at"]).cast("string")
+        add = F.when(x["byte_start"] >= a["at"], F.array(between, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.greatest(a["at"], x["byte_end"]).alias("at"), F.concat(a["out"], add).alias("out"))
 
-    cut = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(whole, a["at"] + 1, F.length(whole))))
+    rest = lambda a: F.substring(raw, a["at"] + 1, F.octet_length(raw)).cast("string")
+    cut = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), rest(a)))
     masked = F.when(whole.isNull() | (F.size("__spans") == 0), whole).otherwise(cut)
     return found.select(*[(masked if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
