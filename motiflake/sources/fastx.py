@@ -206,3 +206,17 @@ def read_large_fasta(spark: SparkSession, path: str) -> DataFrame:
     body = F.regexp_replace("value", r"^\s*>", "")
     rows = parts.select(F.regexp_extract(body, r"^[ \t]*(\S+)", 1).alias("name"), a.normalize(F.regexp_replace(body, r"^[^\n]*\n?", "")).alias("sequence"), "file")
     return rows.filter(F.col("name") != "")
+
+
+@dataclass(frozen=True)
+class FastxReader:
+    """A file, folder or glob of records; read() gives them as a DataFrame."""
+
+    path: str
+    fmt: str = "auto"
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return read_fastx(spark, self.path, self.fmt)
+
+
+SequenceFileReader = FastxReader

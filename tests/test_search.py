@@ -83,10 +83,10 @@ def test_random_records_blocks_and_chunks(spark, options):
     symbols = "ACDE*-.X" if "sequence_type" in options else "ACGTACGTUNRY-."
     data = {f"r{i}": "".join(rng.choices(symbols, k=rng.randint(0, 40))) for i in range(60)}
     df = spark.createDataFrame(list(data.items()), "name string, sequence string")
-    for m in (1, 3, 5):
+    for m, splits in ((1, [(1, 10**6, 1024), (3, 7, 2)]), (3, [(1, 10**6, 1), (2, 1, 5)]), (5, [(1, 10**6, 1024), (3, 7, 2)])):
         query = SearchQuery("".join(rng.choices(symbols, k=m)), **options)
         want = sorted((n, *h) for n, s in data.items() for h in brute(s, query))
-        for jobs, chunk, block in ((1, 10**6, 1024), (1, 10**6, 1), (3, 7, 2), (2, 1, 5)):
+        for jobs, chunk, block in splits:
             found = search(df, query, jobs=jobs, chunk_size=chunk, block=block)
             assert sorted((r.record, r.strand, r.start, r.end, r.matched, r.circular) for r in found.collect()) == want
         counts = {(r.record, r.strand): r.n_hits for r in count_hits(df, query).collect()}

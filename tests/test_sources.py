@@ -151,3 +151,14 @@ def test_defaults_and_bad_options(capsys):
     with pytest.raises(SystemExit) as e:
         cli.parse_args(["--version"])
     assert e.value.code == 0
+
+
+def test_reader_and_plan_objects(spark, tmp_path):
+    from motiflake.plans.planner import plan
+
+    reader = fastx.SequenceFileReader(put(tmp_path / "x.fa", ">a\nACGACG\n"))
+    hits = plan(SearchQuery("CG"), jobs=2, chunk_size=2).search(reader.read(spark), ("record_ord",))
+    assert sorted((r.record, r.start, r.record_ord) for r in hits.collect()) == [("a", 2, 0), ("a", 5, 0)]
+    for bad in ({"jobs": 0}, {"chunk_size": 0}):
+        with pytest.raises(ValueError, match="at least 1"):
+            plan(SearchQuery("CG"), **bad)
