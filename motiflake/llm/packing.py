@@ -3,7 +3,8 @@
 Documents become token ids and are cut only if longer than a sequence. A packer is bounded-space online best-fit: it keeps a
 fixed number of open bins in a bitset keyed by free space (one bit for each amount of space that some open bin has). A
 piece goes to the bin with the least space that holds it; if none does, a new bin opens, and if too many are open the
-fullest closes first. Pieces are dealt to packers by hash, each with enough to fill thousands of sequences.
+fullest closes first. Pieces are dealt to packers by hash, each with enough to fill thousands of sequences, and come to
+a packer longest first: then hardly a bin closes with space that a later piece could use.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import read, share_code
 
-CAPACITY, END, OPEN = 1_024, 2, 1_024
+CAPACITY, END, OPEN = 1_024, 2, 65_536
 #: Documents for each packer, about.
 PACKER_DOCS = 20_000
 #: Characters that are tokenized before the pieces leave.
@@ -148,11 +149,11 @@ def _packed(capacity: int, open_bins: int):
 def packed(spark: SparkSession, parts: DataFrame, packers: int, capacity: int = CAPACITY, open_bins: int = OPEN) -> DataFrame:
     """The rows of `parts` (doc_id, piece, length <= capacity, and any others) with sequence_id and offset.
 
-    Each packer takes its pieces in the order of their hash, so the result doesn't depend on how rows are partitioned;
-    rows that repeat in doc_id, piece and length may trade places. An empty table gives none."""
+    Each packer takes its pieces by falling length, equal ones in the order of their hash, so the result doesn't depend on
+    how rows are partitioned; rows that repeat in doc_id, piece and length may trade places. An empty table gives none."""
     share_code(spark)
     mix = F.xxhash64("doc_id", "piece", F.lit(3))
-    order = ["packer", "mix", "doc_id", "piece", "length"]
+    order = ["packer", F.desc("length"), "mix", "doc_id", "piece"]
     dealt = parts.withColumns({"packer": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers)), "mix": mix})
     dealt = dealt.repartition("packer").sortWithinPartitions(*order)
     out = ", ".join(f"{n} {t}" for n, t in parts.dtypes) + ", sequence_id long, offset long"
