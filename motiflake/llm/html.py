@@ -26,16 +26,20 @@ _DROP = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button",
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _MAIN = {"article", "main"}
+#: Class, id, role or itemprop of other elements that usually hold the article, perhaps with some template around it.
+_LIKELY = re.compile(r"(?:^|[\s_-])(?:main|content|article|articlebody|post|entry|story)(?:$|[\s_-])", re.I)
 _ATTRIBUTE = re.compile(r"""([A-Za-z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: An article element is only ever one of these among others.
+_NOISY_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related|teaser|widget)(?:$|[\s_-])", re.I)
 #: Words of class, id or role that mark what is not the article.
 _NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|side-bar|comments?|disqus|replies|respond|nav|navbar|navigation|navi|menu|breadcrumbs?|footer|header|masthead|topbar|share|sharing|social|related|widget|toolbar|pagination|pager|search|contentinfo|complementary)(?:$|[\s_-])", re.I)
 #: Above this share of a page's own characters, its neighbour is a copy, and what they share says nothing.
 COPY = 0.5
-#: Pages of a piece, about, and how many pieces there are at least and at most.
-PIECE_ROWS, PIECES = 2_000, (64, 50_000)
+#: Pages of a piece, about, and how many pieces there are at least and at most; pages of a piece of a small table.
+PIECE_ROWS, PIECES, LEAST_ROWS = 2_000, (64, 50_000), 32
 _SPACE = re.compile(r"\s+")
 
-MAIN, OTHER, NOISE = range(3)
+MAIN, LIKELY, OTHER, NOISE = range(4)
 
 
 def _noisy(name: str, attributes: str) -> bool:
@@ -45,25 +49,33 @@ def _noisy(name: str, attributes: str) -> bool:
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
-        if key in ("class", "id", "role") and _NOISE.search(value):
+        if key in ("class", "id", "role") and (_NOISY_ARTICLE if name in _MAIN else _NOISE).search(value):
             return True
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             return True
     return False
 
 
+def _likely(name: str, attributes: str) -> bool:
+    if name in ("html", "body") or not attributes.strip():
+        return False
+    return any(key.lower() in ("class", "id", "role", "itemprop") and _LIKELY.search("".join(values)) for key, *values in _ATTRIBUTE.findall(attributes))
+
+
 def lines(page: str | None) -> list[tuple[str, int]]:
-    """The page's blocks of text in order, each with MAIN (in an article or main element), OTHER or NOISE.
+    """The page's blocks of text in order, each with MAIN (in an article or main element), LIKELY (in an element named like
+    one), OTHER or NOISE.
 
     Character references are decoded, white space is one space. An element that never closes ends with its parent or the
     page; markup that breaks off is dropped."""
     text, out, buffer = page or "", [], []
     noise: list[str] = []  # open elements from the first noisy one on
     depth = {"article": 0, "main": 0}
+    likely: list[str] = []  # open elements of the likely element's own name, itself first
     at = 0
 
     def kind() -> int:
-        return NOISE if noise else MAIN if any(depth.values()) else OTHER
+        return NOISE if noise else MAIN if any(depth.values()) else LIKELY if likely else OTHER
 
     def flush() -> None:
         s = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
@@ -105,6 +117,8 @@ def lines(page: str | None) -> list[tuple[str, int]]:
                     depth[name] -= 1
             elif name in _MAIN and depth[name]:
                 depth[name] -= 1
+            elif likely and name == likely[0]:
+                likely.pop()
         elif noise or _noisy(name, attributes):
             # An unclosed element must not swallow the article that follows it.
             if noise and name in _MAIN and not _noisy(name, attributes) and not _closes(text, at, noise[0]):
@@ -114,6 +128,8 @@ def lines(page: str | None) -> list[tuple[str, int]]:
                 noise.append(name)
         elif name in _MAIN:
             depth[name] += 1
+        elif (name == likely[0] if likely else _likely(name, attributes)) and not attributes.rstrip().endswith("/"):
+            likely.append(name)
     flush()
     return out
 
@@ -181,7 +197,8 @@ def main_text(page: Page, partner: Page | None) -> tuple[str, int]:
     if any(k == MAIN for _, k in page.lines):
         kept = [t for t, k in page.lines if k == MAIN]
     else:
-        other = [(i, t) for i, (t, k) in enumerate(page.lines) if k == OTHER]
+        kind = min((k for _, k in page.lines), default=OTHER)
+        other = [(i, t) for i, (t, k) in enumerate(page.lines) if k == kind != NOISE]
         copy = sum(len(t) for i, t in other if i in same) > COPY * sum(len(t) for _, t in other)
         kept = [t for i, t in other if copy or i not in same]
     return "\n\n".join(kept), len(same)
@@ -228,7 +245,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     keys, types = ["host", "path", "id_"], ["string", "string", "long"]
     places = ranked(spark, pages.select(host.alias("host"), path.alias("path"), id_.alias("id_")), keys)
     n = places.count()
-    cuts = splitters(places, keys, n, min(PIECES[1], max(PIECES[0], n // PIECE_ROWS)))
+    cuts = splitters(places, keys, n, min(PIECES[1], max(min(PIECES[0], n // LEAST_ROWS), n // PIECE_ROWS)))
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host"), path.alias("path"), id_.alias("id_"))
     rows = rows.withColumn("piece", piece_of([F.col(k) for k in keys], types, cuts))
     rows = rows.repartition("piece").sortWithinPartitions("piece", *keys, "url").select("page_id", "url", "html", "piece", "host", "path")

@@ -42,6 +42,13 @@ def test_differencing_removes_the_template_of_pages_without_an_article(spark):
     assert got[999].startswith("Site name")
 
 
+def test_shared_lines_of_a_likely_element_go(spark):
+    page = lambda i: f"<div>Site</div><div class=content><p>Written by the editors</p><p>Text {i}, which no other page has, at length.</p></div>"
+    rows = [(i, f"http://h/dir/{i}", page(i)) for i in range(20)]
+    got = html.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Text {r.page_id}, which no other page has, at length." and r.n_shared == 2 for r in got)
+
+
 def test_copies_do_not_erase_each_other(spark):
     page = "<div>Menu</div><p>The very same text under two addresses, whole.</p>"
     rows = [(1, "http://h/a", page), (2, "http://h/a?ref=1", page)]
@@ -58,6 +65,8 @@ def test_copies_do_not_erase_each_other(spark):
         ("<header>h</header><main><p>&eacute;&#8364;&amp;lt;</p></main>", "é€&lt;"),
         ("<article><p>a <a href='x>y'>link</a> b</p><p hidden>no</p><p style='display: none'>no</p></article>", "a link b"),
         ('<article><p>a<a href="x>b</p></article>', "ab"),
+        ("<div class=wrap><div id=top>Site</div><div class='post-content'><div>one</div><p>two</div><div>Imprint</div></div>", "one\n\ntwo"),
+        ("<article class='social-science'><p>text</p><div class='social'>share</div></article>", "text"),
     ],
 )
 def test_markup(page, text):
