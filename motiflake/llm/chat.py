@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import piece_of, ranked, read, share_code, splitters
+from .common import piece_of, ranked, read, share_code, splitters, written
 
 ROLES = ("system", "user", "assistant")
 #: Speakers as transcripts name them. Fixed values.
@@ -263,6 +263,7 @@ def parse(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
     has no turns and no role. Rows without conv_id are one conversation. A transcript is a conversation of one row."""
     share_code(spark)
     base = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text").distinct()
+    base = written(spark, base, "turns")
     base = base.withColumns({"c_": F.coalesce("conv_id", F.lit(-(2**63))), "t_": F.coalesce("turn", F.lit(2**63 - 1)), "h_": F.xxhash64("text")})
     keys, types = ["c_", "t_", "h_"], ["long"] * 3
     places = ranked(spark, base.select(*keys), keys)

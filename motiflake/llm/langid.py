@@ -28,6 +28,9 @@ SAMPLE = 3_000
 SAMPLE_LETTERS = 20_000
 #: Log-probability that a switch of language costs, in nats.
 SWITCH = 12.0
+#: A text is of no language if less than this share of its letters is in any one: a text in one language that quotes others,
+#: or a short one with a notice in another, still is of its own.
+LEAST = 0.3
 #: Words whose scores are held at once, times languages.
 BLOCK = 2_000_000
 #: A script belongs to a language if it has this share of its letters.
@@ -233,7 +236,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None, spans: b
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_predicted(model, spans), "doc_id long, lang_pred string, score double, lang_spans array<struct<start:long,end:long,lang:string>>")
 
 
-def accepted(spark: SparkSession, docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+def accepted(spark: SparkSession, docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
     """The rows of `docs` of one language: its words have at least the share `least` of the letters. Others go. Without a
     model (no row is labelled) only texts without letters go."""
     if model is None:

@@ -18,7 +18,7 @@ def test_stages(spark, reference, tmp_path):  # noqa: F811
         assert name == "packing" or out.columns == columns
     before = docs.collect()
     model = langid.fit(spark, docs)
-    fine = {r.doc_id for r in langid.identify(spark, docs, model).collect() if r.lang_pred != "und" and r.score >= 0.5}
+    fine = {r.doc_id for r in langid.identify(spark, docs, model).collect() if r.lang_pred != "und" and r.score >= langid.LEAST}
     assert sorted(rows["language"]) == sorted(r for r in before if r.doc_id in fine)
     kept = rows["language"]
     roots = brute_components([r.doc_id for r in kept], [brute_fingerprint(r.text) for r in kept])
