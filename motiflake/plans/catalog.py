@@ -97,7 +97,7 @@ SEARCHES = {
     "chunked_exact": _find("nt", "TACA", "TACA", options=_CHUNKS),
     "chunked_iupac": _find("nt", "TRCN", "T[AG]C[ACGT]", "[ACGT]G[CT]A", options=_CHUNKS, revcomp=True, ambig_mode="query"),
     "chunked_circular": _find("nt", "TACA", "TACA", options=_CHUNKS, circular=True),
-    "short_record_prune": _find("dna", "N" * 396 + "TACA", "[ACGT]{396}TACA", ambig_mode="query"),
+    "short_record_prune": _find("dna", "N" * 76 + "TACA", "[ACGT]{76}TACA", ambig_mode="query"),
 }
 
 
