@@ -123,7 +123,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model | N
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.substring("text", 1, 64)), 12) / F.lit(float(1 << 52))
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 12) / F.lit(float(1 << 52))
     rate = F.element_at(F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, sample / n))]), F.col("lang"))
     chosen = known.filter((u < rate) | (rate >= 1)).select("text", "lang")
     counts = chosen.mapInArrow(_counts, "lang string, kind int, slot int, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toArrow()
