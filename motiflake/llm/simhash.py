@@ -2,10 +2,10 @@
 
 Two 64-bit fingerprints that differ in at most 3 bits agree in one of their two halves but for at most one bit. Each
 half is therefore indexed under its 32 variants with one bit left out; fingerprints meet by equality of a variant and
-are verified. A fingerprint has at most 43,744 others within 3 bits, and of fingerprints that all lie within 3 bits of one
-another there are at most 128, so links don't grow with the square of a group of copies. A pair that meets under several variants is reported under one: the first half that is near enough, and
+are verified. A pair that meets under several variants is reported under one: the first half that is near enough, and
 there the bit that differs (the first, if none does). Fingerprints, not documents, are indexed: copies join a class
-before.
+before. A fingerprint has at most 43,744 others within 3 bits, and of fingerprints that all lie within 3 bits of one
+another there are at most 128, so links don't grow with the square of a group of copies.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@ import corpus_pipeline
 from motiflake.llm import langid
 
 from . import test_packing, test_pii
-from .data import SF
+from .data import SF, odd
 from .test_packing import reference  # noqa: F401
 from .test_simhash import brute_components, brute_fingerprint
 
@@ -33,6 +33,16 @@ def test_stages(spark, reference, tmp_path):  # noqa: F811
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(rows["packing"])
 
 
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    wide = odd(spark).drop("n_chars").selectExpr("*", "cast(length(text) as bigint) as n_chars")
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    out = wide
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert sorted(out.columns) == sorted(wide.columns)
+    assert {r.doc_id for r in out.collect()} >= {8, 12} and corpus_pipeline.run(spark, str(tmp_path)).count() >= 4
+
+
 def test_odd_documents_and_an_empty_table(spark, tmp_path):
     names = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "some words in a row", "en", "a", 19), (3, "some words in a row", "en", "a", 19), (None, "others without an id", None, None, 20), (4, "x" * 50_000, "en", "b", 1)]
