@@ -45,7 +45,8 @@ def tokenizer(path: str):
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    slow, special = Tokenizer.from_file(path), [t["content"] for t in model.get("added_tokens", [])]
+    special = [t["content"] for t in model.get("added_tokens", [])]
+    slow = cache(lambda: Tokenizer.from_file(path))  # few texts need it, and it is large
     # The vocabulary writes a byte as a character: printable ones as themselves, the others from code point 256 on.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in set(shown))}
@@ -54,7 +55,7 @@ def tokenizer(path: str):
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(slow().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.array(fast.encode_ordinary(text), dtype=np.uint32)
 
     return encode
