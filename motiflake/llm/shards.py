@@ -2,28 +2,33 @@
 
 Rows are ordered by a 62-bit key: 31 bits of the text's hash, then 31 bits of the row's, so equal texts lie together and
 can still be cut apart. Exact bytes and rows below candidate boundaries are counted over all rows; each round splits the
-intervals that still miss their target into 1,024 finer candidates, until every splitter meets the tolerance. Then rows
-are exchanged once. DataFrame functions only; the driver sees counts alone, at most SPLITS x 1,024 of them.
+intervals that still miss their target into 1,024 finer candidates, until every splitter meets the tolerance. Then whole
+rows are exchanged once. DataFrame functions only; the driver sees counts alone, of a million candidates and 1,024 more for each
+splitter that a heavy text keeps from its target.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import piece_of, read, written
 
 BITS, STEP = 62, 10
-#: Pieces of a shard, each numbered by one task; bounds of how many: by rows, and by what the driver holds.
-PIECE_ROWS, PIECES = 250_000, (4, 16)
+#: Bytes of a piece of a shard, about: one task sorts and numbers it, with spills if need be. Pieces of a shard at least and
+#: at most; beyond the most, pieces grow.
+PIECE_BYTES, PIECES = 256 << 20, (4, 512)
+#: Columns that shard() adds.
+ADDED = ("size", "shard", "slot")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1; a null text has none), text_crc32 and key of every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def size_and_key(text: Column, doc_id: Column) -> list[Column]:
+    """size (UTF-8 bytes plus 1; a null text has none) and key of a row."""
+    whole = F.coalesce(text, F.lit(""))
     half = lambda h: F.shiftrightunsigned(h, 33)
-    key = F.shiftleft(half(F.xxhash64(text)), 31) + half(F.xxhash64("doc_id", text))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"))
+    key = F.shiftleft(half(F.xxhash64(whole)), 31) + half(F.xxhash64(doc_id, whole))
+    return [(F.octet_length(whole) + 1).cast("long").alias("size"), key.alias("key")]
 
 
 class Histogram:
@@ -77,30 +82,36 @@ class Histogram:
 
 
 def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, tolerance: float = 0.0005) -> DataFrame:
-    """Every row of `docs` (doc_id, text) with its shard and its slot there, under the law `bytes`.
+    """Every row of `docs` (doc_id, text and any others), whole, with its size, its shard and its slot there.
 
-    Shard sizes differ from the mean by at most `tolerance` of it and one row; rows that repeat with id and text share a key and stay
-    together. Slots number a shard's rows from 0 without a gap in the order of the key. A null text counts as empty;
-    an empty table gives no rows; other columns are left out."""
-    rows = written(spark, keyed(docs), "keys")
-    counts = Histogram(rows)
+    Shard sizes differ from the mean by at most `tolerance` of it and one row; rows that repeat with id and text share a
+    key and stay together. Slots number a shard's rows from 0 without a gap in the order of the key; rows come out in that
+    order within a partition. A null text counts as empty; an empty table gives no rows. Columns of `docs` named size, shard
+    or slot are replaced. `docs` is read twice: for the counts, and for the exchange."""
+    counts = Histogram(written(spark, docs.select(*size_and_key(F.col("text"), F.col("doc_id"))), "keys"))
     total = [sum(n[i] for n in counts.bins[0, 0].values()) for i in (0, 1)]
-    pieces = max(PIECES[0], min(PIECES[1], -(-total[1] // (shards * PIECE_ROWS))))
+    pieces = max(PIECES[0], min(PIECES[1], -(-total[0] // (shards * PIECE_BYTES))))
     outer = counts.solve([total[0] * j / shards for j in range(1, shards)], 0, tolerance * total[0] / shards)
     ends = [(0, 0, 0), *outer, (1 << BITS, *total)]
-    inner = [a[2] + (b[2] - a[2]) * i / pieces for a, b in zip(ends, ends[1:], strict=False) for i in range(1, pieces)]
-    solved = iter(counts.solve(inner, 1, 0.1 * total[1] / (shards * pieces)))
+    inner = [a[1] + (b[1] - a[1]) * i / pieces for a, b in zip(ends, ends[1:], strict=False) for i in range(1, pieces)]
+    solved = iter(counts.solve(inner, 0, 0.1 * total[0] / (shards * pieces)))
     cuts = [c for a, b in zip(ends, ends[1:], strict=False) for c in (a, *(min(max(next(solved), a), b) for _ in range(1, pieces)))]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    key, keys = F.col("key"), longs([c[0] for c in cuts[1:]])
-    placed = rows.withColumn("piece", F.size(F.filter(keys, lambda c: c <= key)))
-    offset = longs([c[2] - cuts[i - i % pieces][2] for i, c in enumerate(cuts)])
-    row = F.row_number().over(Window.partitionBy("piece").orderBy("key", "doc_id", "size", "text_crc32"))
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("piece") / pieces).cast("int").alias("shard"), (F.get(offset, F.col("piece")) + row - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row).select("row", *size_and_key(F.col("row.text"), F.col("row.doc_id")))
+    rows = rows.withColumn("piece", piece_of([F.col("key")], ["long"], [(c[0],) for c in cuts[1:]]))
+    before = F.from_json(F.lit(json.dumps([c[2] - cuts[i - i % pieces][2] for i, c in enumerate(cuts)])), "array<long>")
+    place = F.row_number().over(Window.partitionBy("piece").orderBy("key", "row.doc_id", "size", F.crc32(F.col("row.text").cast("binary"))))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ADDED]
+    return rows.select(*kept, "size", F.floor(F.col("piece") / pieces).cast("int").alias("shard"), (F.get(before, F.col("piece")) + place - 1).alias("slot"))
+
+
+def write_shards(spark: SparkSession, docs: DataFrame, path: str, shards: int = 16) -> None:
+    """`docs` as Parquet below `path`, a folder shard=N for each shard that has rows; files hold rows in the order of slot."""
+    shard(spark, docs, shards).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: every document in one of 16 shards."""
-    return shard(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """op8: every document in one of 16 shards, under the law `bytes`."""
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    found = shard(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from motiflake.llm import shards
 
-from .data import ODD, documents, texts
+from .data import ODD, documents, odd, store, texts
 
 
 def check(rows, found, shard_count=16):
@@ -32,9 +32,10 @@ def test_odd_rows_and_empty_table(spark, tmp_path):
     assert shards.query(spark, documents(spark, tmp_path / "none", [])).collect() == []
 
 
-def test_copies_of_one_text_are_cut_apart(spark):
+def test_copies_of_one_text_are_cut_apart(spark, tmp_path):
     rows = [(i, "same text" if i % 3 else f"text {i}") for i in range(3000)]
-    found = shards.shard(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    store(spark, tmp_path, "documents", spark.createDataFrame(rows, "doc_id long, text string"))
+    found = shards.query(spark, str(tmp_path)).collect()
     check(rows, found)
     lie = {r.shard for r in found if r.text_crc32 == zlib.crc32(b"same text")}
     assert len(lie) <= 13 and max(lie) - min(lie) == len(lie) - 1
@@ -46,3 +47,22 @@ def test_boundaries_are_refined_until_exact(spark):
     targets = [1000.0, 4000.0, 4001.0]
     for t, (key, below, n) in zip(targets, counts.solve(targets, 0, 0), strict=True):
         assert below == sum(i % 7 + 1 for i in range(key)) and n == key and abs(below - t) <= 4
+
+
+def test_written_shards_hold_whole_rows_in_order(spark, tmp_path):
+    docs = odd(spark)
+    shards.write_shards(spark, docs, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    rest = [c for c in docs.columns if c not in shards.ADDED]
+    key = lambda r: str([r[c] for c in rest])
+    assert sorted(map(key, back.collect())) == sorted(map(key, docs.collect()))
+    for f in back.inputFiles():
+        slots = [r.slot for r in spark.read.parquet(f).collect()]
+        assert slots == sorted(slots)
+
+
+def test_many_pieces_number_rows_as_few_do(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id as doc_id", "if(id % 3 = 0, 'same text', repeat(cast(id as string), cast(id % 50 as int))) as text")
+    few = sorted(shards.shard(spark, docs, 4).collect())
+    monkeypatch.setattr(shards, "PIECE_BYTES", 500)
+    assert sorted(shards.shard(spark, docs, 4).collect()) == few
