@@ -162,12 +162,26 @@ def packed(spark: SparkSession, parts: DataFrame, packers: int, capacity: int =
 
 
 def pack(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Every piece of `docs` in its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Every piece of `docs` (doc_id, text) in its place: doc_id, piece, start, length, ids (little-endian 32-bit),
+    sequence_id, offset. Other columns are left out."""
     docs = docs.select("doc_id", "text")
-    parts = pieces(spark, docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packed(spark, parts, max(1, round(docs.count() / PACKER_DOCS)))
+    return packed(spark, pieces(spark, docs), max(1, round(docs.count() / PACKER_DOCS)))
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """sequence_id, n_docs (pieces) and ids (little-endian 32-bit) of every sequence of pack(): what a trainer reads.
+
+    A sequence has at most as many pieces as tokens, so a group is bounded."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    found = placed.groupBy("sequence_id").agg(parts.alias("parts"))
+    ids = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return found.select("sequence_id", F.size("parts").alias("n_docs"), ids.alias("ids"))
+
+
+def digest(placed: DataFrame) -> DataFrame:
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every piece of every document in its sequence."""
-    return pack(spark, read(spark, sf_dir, "documents"))
+    return digest(pack(spark, read(spark, sf_dir, "documents")))

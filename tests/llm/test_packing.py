@@ -58,6 +58,18 @@ def test_odd_rows_and_empty_table(spark, tmp_path, reference):
     assert packing.query(spark, documents(spark, tmp_path / "none", [])).collect() == []
 
 
+def test_sequences_hold_every_token_in_its_place(spark, reference):
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 7 % 900))) for i in range(120)]
+    placed = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    tokens = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in packing.sequences(placed).collect()}
+    assert max(map(len, tokens.values())) <= 1024
+    found = placed.collect()
+    assert sum(map(len, tokens.values())) == sum(r.length for r in found)
+    want = {i: reference(t) for i, t in rows}
+    for r in found:
+        assert tokens[r.sequence_id][r.offset : r.offset + r.length].tolist() == want[r.doc_id][r.start : r.start + r.length]
+
+
 def test_packer_matches_a_plain_best_fit():
     rng = np.random.default_rng(3)
     for limit in (1, 4, 50):
