@@ -23,6 +23,8 @@ from .common import read, share_code
 CAPACITY, END, OPEN = 1_024, 2, 65_536
 #: Documents for each packer, about.
 PACKER_DOCS = 20_000
+#: Tasks that packers are dealt to, at most.
+TASKS = 50_000
 #: Characters that are tokenized before the pieces leave.
 BATCH_CHARS = 4 << 20
 
@@ -150,13 +152,17 @@ def _packed(capacity: int, open_bins: int):
 def packed(spark: SparkSession, parts: DataFrame, packers: int, capacity: int = CAPACITY, open_bins: int = OPEN) -> DataFrame:
     """The rows of `parts` (doc_id, piece, length <= capacity, and any others) with sequence_id and offset.
 
-    Each packer takes its pieces by falling length, equal ones in the order of their hash, so the result doesn't depend on
-    how rows are partitioned; rows that repeat in doc_id, piece and length may trade places. An empty table gives none."""
+    Pieces go to packers by a hash of doc_id, piece and ids (if there), so rows that share an id spread too; packers go to
+    tasks by number, as many to each. Each packer takes its pieces by falling length, equal ones in the order of their hash,
+    so the result doesn't depend on how rows are partitioned; rows that repeat whole may trade places. An empty table
+    gives none."""
     share_code(spark)
-    mix = F.xxhash64("doc_id", "piece", F.lit(3))
+    by = [c for c in ("doc_id", "piece", "ids") if c in parts.columns]
+    mix = F.xxhash64(*by, F.lit(3))
     order = ["packer", F.desc("length"), "mix", "doc_id", "piece"]
-    dealt = parts.withColumns({"packer": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers)), "mix": mix})
-    dealt = dealt.repartition("packer").sortWithinPartitions(*order)
+    dealt = parts.withColumns({"packer": F.pmod(F.xxhash64(*by), F.lit(packers)), "mix": mix})
+    tasks = min(packers, TASKS)
+    dealt = dealt.repartitionById(tasks, (F.col("packer") % tasks).cast("int")).sortWithinPartitions(*order)
     out = ", ".join(f"{n} {t}" for n, t in parts.dtypes) + ", sequence_id long, offset long"
     return dealt.select("packer", F.col("length").alias("__n"), *parts.columns).mapInArrow(_packed(capacity, open_bins), out)
 
