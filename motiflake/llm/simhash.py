@@ -42,13 +42,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([fingerprint(t.as_py()) for t in b.columns[-1]], pa.int64())], [*b.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (a signed 64-bit integer) of every row."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, `more` (named columns of type long) and fp (a signed 64-bit integer) of every row."""
     share_code(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text")
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in [*rows.columns[:-1], "fp"]))
 
 
 def _signature(fp: Column, i: Column) -> Column:
@@ -95,6 +96,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rooted(spark: SparkSession, rows: DataFrame, first: Column) -> DataFrame:
+    """Of every fingerprint in `rows` (with fp): fp, root (the least fingerprint that links lead to), first (the least there)."""
+    classes = written(spark, rows.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    roots = components(spark, links(classes))
+    return written(spark, classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row of `docs` (doc_id, text): the least doc_id that links of at most DIFFER
     bits lead to.
@@ -102,20 +110,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Texts without words have fingerprint 0 and link like any others. A row without id takes part and gets its
     component's least id, null if all its documents lack one. Repeated rows stay repeated."""
     rows = written(spark, fingerprints(docs), "fingerprints")
-    classes = written(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(spark, links(classes))
-    rooted = written(spark, classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = _rooted(spark, rows, F.col("doc_id"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     known = written(spark, rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "components")
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component: that of the least id. Rows without id stay: no id stands for them."""
-    found = near_duplicates(spark, docs.select("doc_id", "text"))
-    stay = written(spark, found.filter("doc_id = component_id").select("doc_id").distinct(), "stay")
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """`docs` with one row of each component: that of the least id, rows without id last; of rows that share it, that of
+    the least text hash; of rows that share both, any one."""
+    no_id, id_, text_hash = F.col("doc_id").isNull().cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")
+    names = ["no_id", "id_", "text_hash"]
+    rows = written(spark, fingerprints(docs, *[c.alias(n) for c, n in zip((no_id, id_, text_hash), names, strict=True)]), "fingerprints")
+    stay = _rooted(spark, rows, F.struct(*names)).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for c, n in zip((no_id, id_, text_hash), names, strict=True)])
+    kept = whole.join(written(spark, stay, "stay"), names, "left_semi").dropDuplicates(names)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,11 @@ def test_components_of_a_long_chain_and_a_star(spark):
 def test_one_document_of_each_group_stays(spark):
     docs = spark.createDataFrame([(i, f"the same long text again and again {i % 3 * 'x y z '}", "en", "a", 1) for i in range(9)] + [(3, "the same long text again and again ", "en", "a", 1), (None, "lonely", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id or -1) for r in simhash.deduplicated(spark, docs).collect()) in ([-1, -1, 1, 2], [-1, 0, 1, 2], [-1, -1, 1])
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = " ".join(f"w{i}" for i in range(400))
+    other = " ".join(f"v{i}" for i in range(400))
+    rows = [(3, words), (5, words), (None, words), (None, other), (None, other), (7, "one more text"), (7, "another text of the same id"), (9, None), (10, "")]
+    kept = simhash.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(kept, key=str) == sorted([(3, words), (None, other), (7, "one more text"), (7, "another text of the same id"), (9, None)], key=str)
