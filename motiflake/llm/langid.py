@@ -24,8 +24,6 @@ from .common import read, share_code
 BUCKETS = 1 << 16
 #: Documents of each language that the model is fitted on, about: those whose hash falls below a threshold from counts.
 SAMPLE = 3_000
-#: Of a sampled document, the letters that count at most; prediction has no such bound.
-SAMPLE_LETTERS = 20_000
 #: Log-probability that a switch of language costs, in nats.
 SWITCH = 12.0
 #: A text is of no language if less than this share of its letters is in any one: a text in one language that quotes others,
@@ -105,7 +103,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, lang in zip(b.column(0), b.column(1), strict=True):
             bucket, starts, _, script = features(text.as_py())
             grams, scripts = sums.setdefault(lang.as_py(), (np.zeros(BUCKETS, np.int64), np.zeros(len(NAMES), np.int64)))
-            grams += np.bincount(bucket[:SAMPLE_LETTERS], minlength=BUCKETS)
+            grams += np.bincount(bucket, minlength=BUCKETS)
             scripts += np.bincount(script, weights=np.diff(starts, append=len(bucket)), minlength=len(NAMES)).astype(np.int64)
         for lang, both in sums.items():
             for kind, s in enumerate(both):
