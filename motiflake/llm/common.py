@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import json
 import math
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,22 @@ def share_code(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """`run`, which gives memory back to the system: Arrow's after every batch, the rest when the task ends. Python workers
+    outlive their tasks and share an executor's memory with the JVM."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def ranked(spark: SparkSession, df: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
     """`df` with each row's place (from 0) in the order of `keys`, without gathering rows in one task.
 

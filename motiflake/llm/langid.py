@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, share_code
+from .common import lean, read, share_code
 
 #: Trigrams are hashed to this many buckets.
 BUCKETS = 1 << 16
@@ -124,7 +124,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model | N
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 12) / F.lit(float(1 << 52))
     rate = F.element_at(F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, sample / n))]), F.col("lang"))
     chosen = known.filter((u < rate) | (rate >= 1)).select("text", "lang")
-    counts = chosen.mapInArrow(_counts, "lang string, kind int, slot int, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = chosen.mapInArrow(lean(_counts), "lang string, kind int, slot int, n long").groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     if not langs:
         return None
@@ -231,7 +231,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None, spans: b
     score is the share of the text's letters in words labelled lang_pred. `und` with score 0: a null text, one without
     letters, or no model. A text in scripts that no learned language has gets the commonest language with score 0."""
     share_code(spark)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_predicted(model, spans), "doc_id long, lang_pred string, score double, lang_spans array<struct<start:long,end:long,lang:string>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_predicted(model, spans)), "doc_id long, lang_pred string, score double, lang_spans array<struct<start:long,end:long,lang:string>>")
 
 
 def accepted(spark: SparkSession, docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
@@ -249,7 +249,7 @@ def accepted(spark: SparkSession, docs: DataFrame, model: Model | None, least: f
             (p,) = predict(iter([pa.RecordBatch.from_arrays([pa.array([None] * len(text), pa.int64()), text], ["doc_id", "text"])]))
             yield b.filter(pa.array([lang != "und" and s >= least for lang, s in zip(p.column(1).to_pylist(), p.column(2).to_pylist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, share_code
+from .common import lean, read, share_code
 
 CAPACITY, END, OPEN = 1_024, 2, 65_536
 #: Documents for each packer, about.
@@ -96,7 +96,7 @@ def pieces(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None,
     A null text is empty: one piece, the end token."""
     share_code(spark)
     path = vocabulary or default_vocabulary()
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokens(path, capacity), "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_tokens(path, capacity)), "doc_id long, piece int, start long, length long, ids binary")
 
 
 class Packer:
@@ -164,7 +164,7 @@ def packed(spark: SparkSession, parts: DataFrame, packers: int, capacity: int =
     tasks = min(packers, TASKS)
     dealt = dealt.repartitionById(tasks, (F.col("packer") % tasks).cast("int")).sortWithinPartitions(*order)
     out = ", ".join(f"{n} {t}" for n, t in parts.dtypes) + ", sequence_id long, offset long"
-    return dealt.select("packer", F.col("length").alias("__n"), *parts.columns).mapInArrow(_packed(capacity, open_bins), out)
+    return dealt.select("packer", F.col("length").alias("__n"), *parts.columns).mapInArrow(lean(_packed(capacity, open_bins)), out)
 
 
 def pack(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, share_code, written
+from .common import lean, read, share_code, written
 
 DIFFER, WORDS, SEED = 3, 3, 42
 _CHUNK = 65_536  # shingles whose bits are counted at once
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, `more` (named columns of type long) and fp (a signed 64-bit integer) of every row."""
     share_code(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text")
-    return rows.mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in [*rows.columns[:-1], "fp"]))
+    return rows.mapInArrow(lean(_fingerprints), ", ".join(f"{c} long" for c in [*rows.columns[:-1], "fp"]))
 
 
 def _signature(fp: Column, i: Column) -> Column:
