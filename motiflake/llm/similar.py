@@ -1,0 +1,151 @@
+"""Near-duplicates by similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+A set is signed by the least values of its shingles under ROWS * BANDS hashes. Two sets of similarity 0.8 agree in all ROWS
+values of some band but for one pair in 8 million, and in LEAST values at least but for one in 4 million; those are candidates.
+Within a bucket (equal values of a band) all signatures are compared, but only a spanning forest of the candidates leaves
+it. Documents that candidates connect come together once, where the shingles themselves decide; again a spanning forest
+leaves. So rows grow with the documents, whatever the groups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import lean, share_code, written
+from .simhash import components
+
+WORDS, SIMILAR, SEED = 5, (4, 5), 42
+ROWS, BANDS, LEAST = 5, 40, 130
+_CHUNK = 1_024  # shingles whose values are computed at once
+_NAMES = ["no_id", "id_", "text_hash"]
+
+
+def shingles(text: str | None):
+    """The hashes of the text's shingles, sorted, each once; a text of fewer words is one shingle, one without words none."""
+    import numpy as np
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    grams = map(b" ".join, zip(*[w[i:] for i in range(WORDS)], strict=False)) if len(w) >= WORDS else iter([b" ".join(w)] if w else [])
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64))
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, text, gives way to its class (a hash of the set), signature and bands."""
+    import numpy as np
+    import xxhash
+
+    rng = np.random.default_rng(SEED)
+    flip, times = (rng.integers(0, 2**64, (ROWS * BANDS, 1), dtype=np.uint64) for _ in range(2))
+    times |= np.uint64(1)
+    for b in batches:
+        classes, signatures, bands = [], [], []
+        for t in b.columns[-1]:
+            s = shingles(t.as_py())
+            least = np.full(ROWS * BANDS, 2**64 - 1, dtype=np.uint64)
+            for at in range(0, len(s), _CHUNK):
+                least = np.minimum(least, ((s[at : at + _CHUNK] ^ flip) * times).min(axis=1))
+            classes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) - 2**63)
+            signatures.append((least >> np.uint64(16)).astype(np.uint8).tobytes())
+            bands.append([xxhash.xxh64_intdigest(x.tobytes(), i) - 2**63 for i, x in enumerate(least.reshape(BANDS, ROWS))])
+        new = [pa.array(classes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], "c", "signature", "bands"])
+
+
+def _forest(n: int, near: Callable) -> Iterator[tuple[int, int]]:
+    """A spanning forest of 0 to n - 1, where near(i, others) tells which of `others` are linked to i."""
+    import numpy as np
+
+    rest = np.arange(n)
+    while len(rest):
+        found, rest = [int(rest[0])], rest[1:]
+        while found and len(rest):
+            i = found.pop()
+            linked = near(i, rest)
+            for j in rest[linked].tolist():
+                yield i, j
+                found.append(j)
+            rest = rest[~linked]
+
+
+def _signature_links(values: list):
+    import numpy as np
+
+    m = np.frombuffer(b"".join(values), dtype=np.uint8).reshape(len(values), -1)
+    return _forest(len(m), lambda i, rest: np.concatenate([(m[rest[k : k + 4_096]] == m[i]).sum(axis=1) >= LEAST for k in range(0, len(rest), 4_096)]))
+
+
+def _shingle_links(values: list):
+    import numpy as np
+
+    sets = [shingles(t) for t in values]
+    size = np.array([len(s) for s in sets])
+
+    def near(i: int, rest):
+        out = np.zeros(len(rest), dtype=bool)
+        close = np.minimum(size[rest], size[i]) * SIMILAR[1] >= np.maximum(size[rest], size[i]) * SIMILAR[0]
+        for k in np.nonzero(close)[0]:
+            s = sets[rest[k]]
+            at = np.searchsorted(sets[i], s)
+            same = int((sets[i][np.minimum(at, size[i] - 1)] == s).sum()) if size[i] else 0
+            out[k] = same * SIMILAR[1] >= (size[i] + len(s) - same) * SIMILAR[0]
+        return out
+
+    return _forest(len(sets), near)
+
+
+def _edges(links: Callable) -> Callable:
+    """Rows (group, c, value), in order of group, to the links a, b of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cs, values, out = None, [], [], []
+        for b in batches:
+            for group, c, value in zip(*b.columns, strict=True):
+                if (g := group.as_py()) != now:
+                    out += [(cs[i], cs[j]) for i, j in links(values)] if len(cs) > 1 else []
+                    now, cs, values = g, [], []
+                cs.append(c.as_py())
+                values.append(value.as_py())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        out = [(cs[i], cs[j]) for i, j in links(values)] if len(cs) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return lean(run)
+
+
+def _linked(rows: DataFrame, links: Callable) -> DataFrame:
+    return rows.repartition("group").sortWithinPartitions("group", "c").mapInArrow(_edges(links), "a long, b long")
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """`docs` with one row of each group that links of similar texts (column text) connect: that of the least id, rows
+    without id last; of rows that share it, that of the least text hash; of rows that share both, any one.
+
+    Texts without words are alike."""
+    share_code(spark)
+    keys = [F.col("doc_id").isNull().cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")]
+    keys = [k.alias(n) for k, n in zip(keys, _NAMES, strict=True)]
+    rows = docs.select(*keys, "text").mapInArrow(lean(_signed), ", ".join(f"{n} long" for n in [*_NAMES, "c"]) + ", signature binary, bands array<long>")
+    rows = written(spark, rows, "signed")
+    classes = rows.groupBy("c").agg(F.min(F.struct(*_NAMES)).alias("first"), F.min("signature").alias("signature"), F.min("bands").alias("bands"))
+    classes = written(spark, classes, "classes")
+    buckets = classes.select("c", F.explode("bands").alias("band")).groupBy("band").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    buckets = written(spark, buckets.filter(F.size("cs") > 1).select("cs").distinct(), "buckets")
+    members = buckets.select(F.xxhash64("cs").alias("group"), F.explode("cs").alias("c")).join(classes.select("c", "signature"), "c")
+    found = components(spark, _linked(members.select("group", "c", "signature"), _signature_links))
+    grouped = found.select(F.col("node").alias("c"), F.col("root").alias("group")).unionByName(found.select(F.col("root").alias("c"), F.col("root").alias("group"))).distinct()
+    firsts = written(spark, classes.join(grouped, "c").select("group", "c", "first.*"), "candidates")
+    texts = docs.select(*keys, "text").join(firsts, _NAMES).dropDuplicates(["c"])
+    roots = components(spark, _linked(texts.select("group", "c", "text"), _shingle_links))
+    rooted = classes.join(roots, classes.c == roots.node, "left").select("first", F.coalesce("root", "c").alias("root"))
+    stay = written(spark, rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "stay")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys)
+    kept = whole.join(stay, _NAMES, "left_semi").dropDuplicates(_NAMES)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,0 +1,65 @@
+import numpy as np
+
+import corpus_pipeline
+from motiflake.llm import similar
+
+from .data import ODD, odd
+
+
+def brute_shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()}
+
+
+def brute_kept(rows):
+    """The least id of each group of texts of similarity 0.8 or more, by all pairs."""
+    ids, sets = [r[0] for r in rows], [brute_shingles(r[1]) for r in rows]
+    label = list(range(len(ids)))
+    find = lambda x: x if label[x] == x else find(label[x])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)):
+                label[find(i)] = find(j)
+    return sorted({find(i): min(ids[j] for j in range(len(ids)) if find(j) == find(i)) for i in range(len(ids))}.values())
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.choice(len(out), n, replace=False):
+        out[at] = f"new{rng.integers(10**9)}"
+    return out
+
+
+def test_similar_texts_leave_one(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 500, int(rng.integers(100, 400)))]
+        rows += [" ".join(edited(rng, words, int(rng.integers(0, len(words) // 20)))) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(rng.permutation(rows).tolist())]
+    got = similar.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == brute_kept(rows)
+
+
+def test_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+    got = similar.deduplicated(spark, docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_odd_rows_and_empty_table(spark):
+    got = similar.deduplicated(spark, odd(spark)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, i) for i in (1, 4, 5, 6, 8, 9, 10, 11, 12)] + [(True, 0)]
+    assert similar.deduplicated(spark, odd(spark, ODD).limit(0)).collect() == []
+
+
+def test_no_similar_texts_are_left_in_the_pipeline(spark, tmp_path):
+    words = [f"w{i}" for i in range(400)]
+    near = " ".join("new" if i % 80 == 40 else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words), "en", "a", 1), (2, near, "en", "a", 1), (3, "another text of other words altogether", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted({r.doc_id for r in docs.collect()}) == [1, 3]
