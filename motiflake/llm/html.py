@@ -35,6 +35,8 @@ _NOISY_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|
 _NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|side-bar|comments?|disqus|replies|respond|nav|navbar|navigation|navi|menu|breadcrumbs?|footer|header|masthead|topbar|share|sharing|social|related|widget|toolbar|pagination|pager|search|contentinfo|complementary)(?:$|[\s_-])", re.I)
 #: Above this share of a page's own characters, its neighbour is a copy, and what they share says nothing.
 COPY = 0.5
+#: Where differencing can't tell, likely elements are the article if they hold this share of a page's own characters.
+ENOUGH = 1 / 3
 #: Pages of a piece, about, and how many pieces there are at least and at most; pages of a piece of a small table.
 PIECE_ROWS, PIECES, LEAST_ROWS = 2_000, (64, 50_000), 32
 _SPACE = re.compile(r"\s+")
@@ -197,10 +199,14 @@ def main_text(page: Page, partner: Page | None) -> tuple[str, int]:
     if any(k == MAIN for _, k in page.lines):
         kept = [t for t, k in page.lines if k == MAIN]
     else:
-        kind = min((k for _, k in page.lines), default=OTHER)
-        other = [(i, t) for i, (t, k) in enumerate(page.lines) if k == kind != NOISE]
-        copy = sum(len(t) for i, t in other if i in same) > COPY * sum(len(t) for _, t in other)
-        kept = [t for i, t in other if copy or i not in same]
+        own = [(i, t) for i, (t, k) in enumerate(page.lines) if k != NOISE]
+        size = lambda rows: sum(len(t) for _, t in rows)
+        likely = [x for x in own if page.lines[x[0]][1] == LIKELY]
+        if partner and size([x for x in own if x[0] in same]) <= COPY * size(own):
+            own = [x for x in own if x[0] not in same]
+        elif size(likely) >= ENOUGH * size(own):
+            own = likely
+        kept = [t for _, t in own]
     return "\n\n".join(kept), len(same)
 
 

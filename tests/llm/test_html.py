@@ -55,6 +55,19 @@ def test_copies_do_not_erase_each_other(spark):
     assert {r.text for r in html.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Menu\n\nThe very same text under two addresses, whole."}
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>Site</div><h1 class='entry-title'>Title {0}</h1><div class=text><p>The body {0}, which is the article and longer.</p></div>",
+        "<div>Site</div><h1>Title {0}</h1><div class=text><p>The body {0}, which is the article and longer.</p></div><div class=story>Teaser {0}</div>",
+    ],
+)
+def test_a_small_likely_element_does_not_hide_the_article(page):
+    a, b = (html.Page((i, ""), (0, ""), str(i), html.lines(page.format(i))) for i in (1, 2))
+    text, _ = html.main_text(a, b)
+    assert "Title 1" in text and "The body 1, which is the article and longer." in text and "Site" not in text
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
