@@ -33,8 +33,9 @@ _ATTRIBUTE = re.compile(r"""([A-Za-z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 _NOISY_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related|teaser|widget)(?:$|[\s_-])", re.I)
 #: Words of class, id or role that mark what is not the article.
 _NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|side-bar|comments?|disqus|replies|respond|nav|navbar|navigation|navi|menu|breadcrumbs?|footer|header|masthead|topbar|share|sharing|social|related|widget|toolbar|pagination|pager|search|contentinfo|complementary)(?:$|[\s_-])", re.I)
-#: Above this share of a page's own characters, its neighbour is a copy, and what they share says nothing.
-COPY = 0.5
+#: Above the first share of a page's own characters, its partner may be a copy: only lines that a second page has too are
+#: template. Where there is none, or both have more than the second share, what they share says nothing.
+COPY, COPIES = 0.5, 0.9
 #: Where differencing can't tell, likely elements are the article if they hold this share of a page's own characters.
 ENOUGH = 1 / 3
 #: Pages of a piece, about, and how many pieces there are at least and at most; pages of a piece of a small table.
@@ -193,8 +194,9 @@ def nearest(page: Page, before: Page | None, after: Page | None) -> Page | None:
     return max(near, key=lambda p: (p.path != page.path, common(p.path, page.path)), default=None)
 
 
-def main_text(page: Page, partner: Page | None) -> tuple[str, int]:
-    """The page's text and how many of its lines its partner shares."""
+def main_text(page: Page, partner: Page | None, other: Page | None = None) -> tuple[str, int]:
+    """The page's text and how many of its lines its partner shares; `other` is the next page of its group, by
+    place, that is not the partner."""
     same = shared([t for t, _ in page.lines], [t for t, _ in partner.lines]) if partner else set()
     if any(k == MAIN for _, k in page.lines):
         kept = [t for t, k in page.lines if k == MAIN]
@@ -202,8 +204,12 @@ def main_text(page: Page, partner: Page | None) -> tuple[str, int]:
         own = [(i, t) for i, (t, k) in enumerate(page.lines) if k != NOISE]
         size = lambda rows: sum(len(t) for _, t in rows)
         likely = [x for x in own if page.lines[x[0]][1] == LIKELY]
-        if partner and size([x for x in own if x[0] in same]) <= COPY * size(own):
-            own = [x for x in own if x[0] not in same]
+        share = lambda found: size([x for x in own if x[0] in found])
+        template, most = same, COPY
+        if other and share(same) > COPY * size(own):  # a copy, or a short text in a long template: the other page tells
+            template, most = same & shared([t for t, _ in page.lines], [t for t, _ in other.lines]), COPIES
+        if partner and share(template) <= most * size(own):
+            own = [x for x in own if x[0] not in template]
         elif size(likely) >= ENOUGH * size(own):
             own = likely
         kept = [t for _, t in own]
@@ -211,28 +217,34 @@ def main_text(page: Page, partner: Page | None) -> tuple[str, int]:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, html, piece, host, path) in order; each is held until the next has come."""
-    before, now, rows, held = None, None, [], 0
+    """Rows (page_id, url, html, piece, host, path) in order; each is held until the next two have come."""
+    past, ahead, rows, held = [], [], [], 0
 
     def out() -> pa.RecordBatch:
         names = [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), names, strict=True)], [n for n, _ in names])
 
-    def done(after: Page | None) -> None:
-        nonlocal before, now, held
-        if now is not None:
-            text, n = main_text(now, nearest(now, before, after))
-            rows.append((*now.row, text, len(text), n))
-            held += len(text)
-        before, now = now, after
+    def done() -> None:
+        nonlocal past, held
+        now = ahead.pop(0)
+        before, after = past[-1] if past else None, ahead[0] if ahead else None
+        partner = nearest(now, before, after)
+        other = next((p for p in [before, after, *past[:-1], *ahead[1:]] if p is not None and p is not partner and p.group == now.group), None)
+        text, n = main_text(now, partner, other)
+        rows.append((*now.row, text, len(text), n))
+        held += len(text)
+        past = [*past, now][-2:]
 
     for b in batches:
         for page_id, url, page, piece, host, path in zip(*b.columns, strict=True):
-            done(Page((page_id.as_py(), url.as_py()), (piece.as_py(), host.as_py()), path.as_py(), lines(page.as_py())))
+            ahead.append(Page((page_id.as_py(), url.as_py()), (piece.as_py(), host.as_py()), path.as_py(), lines(page.as_py())))
+            if len(ahead) > 2:
+                done()
             if held > 4 << 20:
                 yield out()
                 rows, held = [], 0
-    done(None)
+    while ahead:
+        done()
     if rows:
         yield out()
 

@@ -55,6 +55,14 @@ def test_copies_do_not_erase_each_other(spark):
     assert {r.text for r in html.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Menu\n\nThe very same text under two addresses, whole."}
 
 
+def test_a_long_template_goes_and_copies_stay(spark):
+    menu = "<div>Site name and a menu of many words</div><div>Imprint and notices, also long</div>"
+    texts = ["Short text a.", "Short text b.", "Short text c.", "Short text c.", "Short text d."]
+    rows = [(i, f"http://h/{i}", f"{menu}<p>{t}</p>") for i, t in enumerate(texts)]
+    got = html.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in sorted(got)] == texts
+
+
 @pytest.mark.parametrize(
     "page",
     [
