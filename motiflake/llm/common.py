@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,22 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """row (all columns of `docs`) and place: a hash of the row's file and number there, which tells rows that repeat whole
+    apart. What is read from no Parquet file is written to one first, so that later passes see the same places. Of files that
+    Spark names, the number of the part counts: the rest differs from run to run."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+    def of(df: DataFrame, row: Column) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.select(row, F.xxhash64(F.regexp_extract(at["file_name"], "^part-[0-9]+|^.*", 0), at["row_index"]).alias("place"))
+
+    try:
+        return of(docs, row)
+    except AnalysisException:
+        return of(written(spark, docs.select(row), "rows"), F.col("row"))
+
+
 def share_code(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it (a no-op where PYTHONPATH has it)."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])

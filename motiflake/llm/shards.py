@@ -13,11 +13,10 @@ import itertools
 import json
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import piece_of, read, written
+from .common import piece_of, placed, read, written
 
 #: Bits of a key after each round of counting; a whole number of texts lies below a boundary of TEXT bits.
 LEVELS, TEXT = (10, 20, 31, 41, 51, 62), 31
@@ -89,21 +88,6 @@ class Histogram:
         return found
 
 
-def _placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """row (all columns of `docs`) and place: a hash of the row's file and number there. What is no Parquet file is written
-    to one first, so that both passes over the rows see the same places."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-
-    def of(df: DataFrame, row: Column, name: str) -> DataFrame:
-        at = df.metadataColumn("_metadata")
-        return df.select(row, F.xxhash64(F.regexp_extract(at["file_name"], name, 0), at["row_index"]).alias("place"))
-
-    try:
-        return of(docs, row, ".*")
-    except AnalysisException:
-        return of(written(spark, docs.select(row), "rows"), F.col("row"), "^part-[0-9]+")  # the rest differs from run to run
-
-
 def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE, whole: float = WHOLE) -> DataFrame:
     """Every row of `docs` (doc_id, text and any others), whole, with its size, its shard and its slot there.
 
@@ -112,7 +96,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 16, tolerance: flo
     from 0 without a gap in the order of the key; rows come out in that order within a partition. A null text counts as empty;
     null ids are ids like others; an empty table gives no rows; a text of any length is one row. Columns of `docs` named size, shard or slot are replaced.
     `docs` is read twice, for the counts and for the exchange; the same files give the same result."""
-    rows = _placed(spark, docs)
+    rows = placed(spark, docs)
     rows = rows.select("row", *size_and_key(F.col("row.text"), F.col("row.doc_id"), F.col("place")))
     counts = Histogram(written(spark, rows.select("size", "key"), "keys"))
     total, mean = counts.total[0], counts.total[0] / shards

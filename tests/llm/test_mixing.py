@@ -52,7 +52,7 @@ def test_odd_rows_and_empty_table(spark, tmp_path):
 def test_selection_follows_the_keys(spark):
     """Of the part beyond complete epochs, no document is taken before one of a smaller key of its source."""
     docs = spark.createDataFrame([(i, "w " * (1 + i % 50), None, f"s{i % 4}") for i in range(4000)], "doc_id long, text string, lang string, source string")
-    rows = mixing.sized(docs)
+    rows = mixing.sized(spark, docs)
     found = mixing.taken(rows, mixing.fit(spark, rows)).collect()
     for s in {r.src for r in found}:
         part = [r.part / r.size for r in sorted((r for r in found if r.src == s), key=lambda r: r.key)]
@@ -62,7 +62,7 @@ def test_selection_follows_the_keys(spark):
 def test_weights_draw_more_often(spark):
     good, bad = ("abcde " * 20).strip(), "a " * 20
     docs = spark.createDataFrame([(i, good if i % 2 else bad, None, "s0" if i < 3000 else f"s{i % 5 + 1}") for i in range(9000)], "doc_id long, text string, lang string, source string")
-    rows = mixing.sized(docs)
+    rows = mixing.sized(spark, docs)
     first = [r for r in rows.filter("src = 's1'").orderBy("key").limit(300).collect()]
     assert sum(r.row.doc_id % 2 for r in first) > 180
 
@@ -73,3 +73,39 @@ def test_mixed_rows(spark):
     assert out.columns == docs.columns
     n = out.groupBy("doc_id").count().collect()
     assert max(r["count"] for r in n) <= 2
+
+
+def test_one_poor_source_without_ids_has_a_small_edge(spark, tmp_path, monkeypatch):
+    """Rows that repeat whole, of the least quality and without ids: counting goes on until a few rows are left to sort."""
+    monkeypatch.setattr(mixing, "EDGE", 20)
+    rows = [(None, "a a a", None, None)] * 4000 + [(i, "some words", None, "s") for i in range(2500)] + [(5000 + i, "x " * (i % 9), None, "t") for i in range(900)]
+    rows += [(9000 + i, "more words to fill", None, "u") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sorted_rows = []
+    running = mixing.running
+    monkeypatch.setattr(mixing, "running", lambda by, order, value: sorted_rows.append(order) or running(by, order, value))
+    found = mixing.query(spark, str(tmp_path)).collect()
+    assert sorted_rows.count(["b"]) > mixing.BITS // mixing.STEP  # codes of rows that repeat are equal: their places decide
+    check(rows, [r for r in found if r.doc_id is not None] + [r for r in found if r.doc_id is None])
+    assert sorted(found, key=str) == sorted(mixing.query(spark, str(tmp_path)).collect(), key=str)
+
+
+def test_many_sources_are_shared_out_alike(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i * i % 37), f"s{i % 23}") for i in range(600)], "doc_id long, text string, source string")
+    one = {r.src: r.target for r in mixing.fit(spark, mixing.sized(spark, docs)).plan.collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    rows = mixing.sized(spark, docs)
+    mix = mixing.fit(spark, rows)
+    many = {r.src: r.target for r in mix.plan.collect()}
+    assert len(one) == 23 and all(math.isclose(one[s], many[s], rel_tol=1e-12) for s in one)
+    got = defaultdict(int)
+    for r in mixing.taken(rows, mix).collect():
+        got[r.src] += r.taken
+    assert all(abs(got[s] - many[s]) <= 0.5 + 1e-6 for s in many)
+
+
+def test_code_keeps_the_order_of_keys(spark):
+    docs = spark.createDataFrame([(i, "a " * 30, "s") for i in range(5000)], "doc_id long, text string, source string")
+    rows = sorted((r.key, r.code) for r in mixing.sized(spark, docs).collect())
+    assert [c for _, c in rows] == sorted(c for _, c in rows) and len({c for _, c in rows}) == 5000
