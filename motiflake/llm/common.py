@@ -24,10 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode (as
+    in tests), an error on a cluster, whose executors don't see one another's folders."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="motiflake-")
         sc.setCheckpointDir(found)
     return found
@@ -35,10 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: later steps neither compute it again nor depend on any
-    executor that made it. The tables stay until the shared folder is cleared."""
+    executor that made it. The tables stay until the shared folder is cleared, or discard() takes them."""
     path = f"{shared_dir(spark)}/motiflake-{spark.sparkContext.applicationId}/{next(_numbers)}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables from written() that nothing reads any more."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def placed(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -1,43 +1,64 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Two 64-bit fingerprints that differ in at most 3 bits agree in one of their two halves but for at most one bit. Each
-half is therefore indexed under its 32 variants with one bit left out; fingerprints meet by equality of a variant and
-are verified. A pair that meets under several variants is reported under one: the first half that is near enough, and
-there the bit that differs (the first, if none does). Fingerprints, not documents, are indexed: copies join a class
-before. A fingerprint has at most 43,744 others within 3 bits, and of fingerprints that all lie within 3 bits of one
-another there are at most 128, so links don't grow with the square of a group of copies.
+A fingerprint is cut into fewer segments than differing bits would spoil, so that a segment is left which differs by at most one bit:
+two of 32 bits for fingerprints of 64 that differ in at most 3. Each segment is indexed under its variants with one bit
+left out; fingerprints meet by equality of a variant and are verified. The exchange goes by a half segment, in which those
+that differ by one bit agree on one side; variants of the other half are made after it. Fingerprints, not documents,
+are indexed: copies join a class before.
+
+near_duplicates() links 64-bit fingerprints of three-word shingles that differ in at most 3 bits. similar() finds sets of
+five-word shingles of a Jaccard similarity of 0.8 or more: there bits differ with probability 0.15, so fingerprints are wider
+and have more segments; 128 other bits are compared before the shingles themselves decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, read, share_code, written
+from .common import discard, lean, read, share_code, written
 
 DIFFER, WORDS, SEED = 3, 3, 42
+#: similar(): words of a shingle, least similarity as a fraction.
+SIMILAR_WORDS, SIMILAR = 5, (4, 5)
+#: similar(): for up to so many documents, segments of a fingerprint and bits of a segment. All find a pair of the least
+#: similarity with probability 0.99 (the chance that some segment differs by at most one bit); wider segments cost more
+#: variants, and keep buckets small where there are more documents.
+SCHEMES = ((1 << 27, 28, 20), (1 << 33, 44, 24), (1 << 62, 76, 28))
+#: Of 128 more bits, how many may differ; pairs of the least similarity differ in 19, with a deviation of 4.
+NEAR = 32
+#: Sets of fewer shingles are similar to no other set.
+LEAST = 4
+#: Links that one task verifies for a text, about: texts with more are sent to several.
+LINKS = 512
+#: Of a bucket with more members, only a spanning forest of its links leaves where links need no listing.
+SMALL = 16
 _CHUNK = 65_536  # shingles whose bits are counted at once
+_NAMES = ["no_id", "id_", "text_hash"]
+
+
+def _grams(text: str | None, words: int) -> Iterator[bytes]:
+    # bytes.lower() and bytes.split() know ASCII alone: A-Z, and the white space x20 and x09-x0D.
+    w = (text or "").encode().lower().split()
+    return map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False)) if len(w) >= words else iter([b" ".join(w)] if w else [])
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The fingerprint as a signed 64-bit integer; 0 without words."""
-    import numpy as np
     import xxhash
 
-    # bytes.lower() and bytes.split() know ASCII alone: A-Z, and the white space x20 and x09-x0D.
-    w = (text or "").encode().lower().split()
-    if not w:
-        return 0
-    grams = map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False)) if len(w) >= words else iter([b" ".join(w)])
-    total, n, h = np.zeros(64, dtype=np.int64), max(1, len(w) - words + 1), xxhash.xxh64_intdigest
-    for at in range(0, n, _CHUNK):
-        size = min(_CHUNK, n - at)
-        hashes = np.fromiter((h(g, SEED) for g, _ in zip(grams, range(size), strict=False)), dtype=np.uint64, count=size)
+    grams, total, n, h = _grams(text, words), np.zeros(64, dtype=np.int64), 0, xxhash.xxh64_intdigest
+    while True:
+        hashes = np.fromiter((h(g, SEED) for g, _ in zip(grams, range(_CHUNK), strict=False)), dtype=np.uint64)
+        n += len(hashes)
         total += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n).view(">i8")[0])
+        if len(hashes) < _CHUNK:
+            return int(np.packbits(2 * total > n).view(">i8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,24 +73,140 @@ def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
     return rows.mapInArrow(lean(_fingerprints), ", ".join(f"{c} long" for c in [*rows.columns[:-1], "fp"]))
 
 
-def _signature(fp: Column, i: Column) -> Column:
-    """Variant i (0 to 63): i, then the half of fp that i lies in, without its bit i."""
-    half = F.when(i < 32, F.shiftrightunsigned(fp, 32)).otherwise(fp.bitwiseAND(F.lit(0xFFFFFFFF)))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), i % 32)
-    return F.call_function("shiftleft", i.cast("long"), F.lit(32)) + half - half.bitwiseAND(bit)
+def shingles(text: str | None) -> np.ndarray:
+    """The hashes of the text's five-word shingles, sorted, each once; a text of fewer words is one shingle, one without
+    words none."""
+    import xxhash
+
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in _grams(text, SIMILAR_WORDS)), dtype=np.uint64))
+
+
+@cache
+def _mixers(words: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    flip, times = rng.integers(0, 2**64, (words, 2), dtype=np.uint64).T
+    return flip, times | np.uint64(1)
+
+
+def wide(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """At least `bits` bits (0 or 1) of a set's fingerprint."""
+    flip, times = _mixers(-(-bits // 64))
+    total, part = np.zeros(64 * len(flip), np.int64), 255  # sums of so many bits fit a byte
+    for at in range(0, len(hashes), part):
+        x = (hashes[at : at + part, None] ^ flip) * times
+        total += np.unpackbits((x ^ (x >> np.uint64(32))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (2 * total > len(hashes)).astype(np.uint8)
+
+
+def _signed(segments: int, width: int) -> Callable:
+    """The last column, text, gives way to its class (a hash of the set), 128 bits and the segments (none of a small set)."""
+    import xxhash
+
+    power = 1 << np.arange(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            classes, near, cut = [], np.zeros((b.num_rows, 2), np.int64), []
+            for i, t in enumerate(b.columns[-1]):
+                s = shingles(t.as_py())
+                classes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) - 2**63)
+                if len(s) < LEAST:
+                    cut.append([])
+                    continue
+                bits = wide(s, 128 + segments * width)
+                near[i] = np.packbits(bits[:128]).view(">i8")
+                cut.append(bits[128 : 128 + segments * width].reshape(segments, width) @ power)
+            new = [pa.array(classes, pa.int64()), pa.array(near[:, 0]), pa.array(near[:, 1]), pa.array(cut, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], "c", "near0", "near1", "segments"])
+
+    return run
+
+
+def _variants(key: Column, other: Column, bits: int) -> Column:
+    """Of the half `other` of a segment, the variants with one bit left out, each with `key`."""
+    at = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
+    one = lambda j: F.shiftleft(F.shiftleft(key, 5) + j, bits) + other - other.bitwiseAND(at(j))
+    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), one)
+
+
+def _meetings(classes: DataFrame, width: int, near: list[str]) -> DataFrame:
+    """sig, c and `near` of every variant of every segment of `classes` (c, near, segments of `width` bits); those of one sig
+    lie together, in the order of c."""
+    half = width // 2
+    low, high = F.col("seg").bitwiseAND((1 << half) - 1), F.shiftright("seg", half)
+    key = lambda side, value: F.shiftleft(F.col("at").cast("long") * 2 + side, half) + value
+    sides = F.array(F.struct(key(0, high).alias("key"), low.alias("other")), F.struct(key(1, low).alias("key"), high.alias("other")))
+    parts = classes.select("c", *near, F.posexplode("segments").alias("at", "seg")).select("c", *near, F.inline(sides))
+    return parts.repartition("key").select("c", *near, F.explode(_variants(F.col("key"), F.col("other"), half)).alias("sig")).select("sig", "c", *near).sortWithinPartitions("sig", "c")
+
+
+def _met(differ: int, listed: bool) -> Callable:
+    """Rows (sig, c, near ...), in order of sig, to links a, b: members of a bucket whose near bits differ in at most
+    `differ`. All of them (`listed`), or of buckets of more than SMALL members a spanning forest; some come more than once."""
+
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= differ
+
+    def large(c: np.ndarray, near: np.ndarray) -> list[np.ndarray]:
+        out, rest = [], np.arange(len(c))
+        if listed:
+            for i in range(len(c) - 1):
+                j = i + 1 + np.flatnonzero(close(near[i + 1 :], near[i]))
+                out.append(np.stack([np.full(len(j), c[i]), c[j]], axis=1))
+            return out
+        while len(rest):
+            found, rest = [int(rest[0])], rest[1:]
+            while found and len(rest):
+                i = found.pop()
+                linked = close(near[rest], near[i])
+                j, rest = rest[linked], rest[~linked]
+                out.append(np.stack([np.full(len(j), c[i]), c[j]], axis=1))
+                found += j.tolist()
+        return out
+
+    def links(sig: np.ndarray, c: np.ndarray, near: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(np.diff(sig, prepend=sig[:1] - 1))
+        size = np.diff(starts, append=len(sig))
+        out = [x for i in np.flatnonzero(size > SMALL) for x in large(c[starts[i] : starts[i] + size[i]], near[starts[i] : starts[i] + size[i]])]
+        some = np.repeat((size > 1) & (size <= SMALL), size)
+        sig, c, near = sig[some], c[some], near[some]
+        for d in range(1, SMALL):
+            i = np.flatnonzero(sig[d:] == sig[:-d])
+            if not len(i):
+                break
+            i = i[close(near[i], near[i + d])]
+            out.append(np.stack([c[i], c[i + d]], axis=1))
+        return np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def done(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            sig, c, *near = (np.concatenate(x) for x in zip(*parts, strict=True))
+            found = links(sig, c, np.stack(near, axis=1).view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for b in batches:
+            columns = [x.to_numpy() for x in b.columns]
+            if not len(columns[0]):
+                continue
+            # What has the batch's last sig may go on in the next one.
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            if last or (held and held[-1][0][-1] != columns[0][0]):
+                yield done([*held, [x[:last] for x in columns]])
+                held = []
+            held.append([x[last:] for x in columns])
+        if held:
+            yield done(held)
+
+    return lean(run)
 
 
 def links(classes: DataFrame) -> DataFrame:
     """Pairs a < b of fingerprints (column fp, each once) that differ in 1 to DIFFER bits, each pair once."""
-    one = classes.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _signature(F.col("fp"), i))).alias("sig"))
-    a, b = one.select(F.col("fp").alias("a"), "sig"), one.select(F.col("fp").alias("b"), F.col("sig").alias("sig_b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    high, low = F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(0xFFFFFFFF))
-    i = F.shiftright("sig", 32)
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
-    first = lambda half, k: F.when(half == 0, k == 0).otherwise(half == bit(k))
-    once = F.when(F.bit_count(high) <= 1, (i < 32) & first(high, i)).otherwise((i >= 32) & first(low, i - 32))
-    return a.join(b, (F.col("sig") == F.col("sig_b")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= DIFFER) & once).select("a", "b")
+    share_code(classes.sparkSession)
+    half = F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return _meetings(classes.select(F.col("fp").alias("c"), F.col("fp").alias("near"), half.alias("segments")), 32, ["near"]).mapInArrow(_met(DIFFER, True), "a long, b long").distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -87,9 +224,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = least(both).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
         large = written(spark, large, "large")
+        discard(spark, now)
         small = least(large)
         small = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         now = written(spark, small, "small")
+        discard(spark, large)
         was, mark = mark, now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if was == mark:
             break
@@ -107,8 +246,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row of `docs` (doc_id, text): the least doc_id that links of at most DIFFER
     bits lead to.
 
-    Texts without words have fingerprint 0 and link like any others. A row without id takes part and gets its
-    component's least id, null if all its documents lack one. Repeated rows stay repeated."""
+    Null texts and those without words have fingerprint 0 and link like any others; a text of any length is counted whole. A
+    row without id takes part and gets its component's least id, null if all its documents lack one. Repeated rows stay
+    repeated; an empty table gives none; other columns are left out."""
     rows = written(spark, fingerprints(docs), "fingerprints")
     rooted = _rooted(spark, rows, F.col("doc_id"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -116,15 +256,85 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, b, text), a's own text (b null) first: the pairs a, b of similar sets."""
+    now, own = None, None
+    for rows in batches:
+        out = []
+        for a, part, b, t in zip(*rows.columns, strict=True):
+            key, other, text = (a.as_py(), part.as_py()), b.as_py(), t.as_py()
+            if other is None:
+                now, own = key, shingles(text)
+                continue
+            if key != now:
+                raise ValueError(f"no text came for class {key[0]}")
+            s = shingles(text)
+            if min(len(s), len(own)) * SIMILAR[1] < max(len(s), len(own)) * SIMILAR[0]:
+                continue
+            same = len(np.intersect1d(own, s, assume_unique=True))
+            if same * SIMILAR[1] >= (len(own) + len(s) - same) * SIMILAR[0]:
+                out.append((key[0], other))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """Those of `pairs` (a, b) whose texts (c, text) are similar. Each pair brings b's text; a's comes once for LINKS pairs,
+    so a text with many links spreads over tasks, and a task holds one set at a time."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LINKS).cast("int").alias("parts"))
+    own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts, F.col("a") == F.col("c")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    others = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b").join(texts, F.col("b") == F.col("c")).select("a", "part", "b", "text")
+    rows = own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return written(spark, rows.mapInArrow(lean(_verified), "a long, b long"), name)
+
+
+def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """first (no_id, id_, text_hash of its least row), c and root of every class of `docs` (doc_id, text): texts of one set of
+    five-word shingles are a class, root is one of the classes that links of similar sets lead to.
+
+    Candidates are pairs that meet under a variant and pass the comparison of 128 bits; each is verified by the shingles
+    themselves, first one for every class, then those that are not connected yet."""
+    share_code(spark)
+    n = docs.count()
+    segments, width = next(x[1:] for x in SCHEMES if n <= x[0])
+    keys = [k.alias(n) for k, n in zip(_keys(), _NAMES, strict=True)]
+    rows = docs.select(*keys, "text").mapInArrow(lean(_signed(segments, width)), ", ".join(f"{n} long" for n in [*_NAMES, "c", "near0", "near1"]) + ", segments array<long>")
+    rows = written(spark, rows, "signed")
+    classes = rows.groupBy("c").agg(F.min(F.struct(*_NAMES)).alias("first"), *[F.min(x).alias(x) for x in ("near0", "near1", "segments")])
+    classes = written(spark, classes, "classes")
+    discard(spark, rows)
+    pairs = _meetings(classes.select("c", "near0", "near1", "segments"), width, ["near0", "near1"]).mapInArrow(_met(NEAR, False), "a long, b long")
+    pairs = written(spark, pairs.distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    needed = classes.select("c", "first.*").join(ends, "c")
+    texts = written(spark, docs.select(*keys, "text").join(needed, _NAMES).dropDuplicates(["c"]).select("c", "text"), "texts")
+    one = _verify(spark, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, "one")
+    roots = written(spark, components(spark, one), "roots")
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    more = _verify(spark, apart.select("a", "b"), texts, "more")
+    linked = components(spark, one.unionByName(more))
+    out = classes.select("c", "first").join(linked, F.col("c") == F.col("node"), "left").select("first", "c", F.coalesce("root", "c").alias("root"))
+    out = written(spark, out, "similar")
+    discard(spark, pairs, texts, one, more, roots, classes)
+    return out
+
+
+def _keys() -> list[Column]:
+    return [F.col("doc_id").isNull().cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")]
+
+
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each component: that of the least id, rows without id last; of rows that share it, that of
-    the least text hash; of rows that share both, any one."""
-    no_id, id_, text_hash = F.col("doc_id").isNull().cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")
-    names = ["no_id", "id_", "text_hash"]
-    rows = written(spark, fingerprints(docs, *[c.alias(n) for c, n in zip((no_id, id_, text_hash), names, strict=True)]), "fingerprints")
-    stay = _rooted(spark, rows, F.struct(*names)).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for c, n in zip((no_id, id_, text_hash), names, strict=True)])
-    kept = whole.join(written(spark, stay, "stay"), names, "left_semi").dropDuplicates(names)
+    """`docs` (doc_id, text and any others) with one row of each group that links of similar() connect: that of the least
+    id, rows without id last; of rows that share it, that of the least text hash; of rows that share both, the least in
+    the order of their other columns as JSON.
+
+    Texts without words (null, empty, blanks) are alike; a text of any length counts whole; an empty table gives no rows."""
+    stay = written(spark, similar(spark, docs).groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "stay")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for c, n in zip(_keys(), _NAMES, strict=True)])
+    # Rows that share id and text differ in other columns only: one partial aggregate, no sort of whole rows.
+    names = [f"v{i}" for i in range(len(docs.columns))]
+    plain = F.to_json(F.struct(*[F.col("row")[c].alias(n) for c, n in zip(docs.columns, names, strict=True) if c not in ("doc_id", "text")]))
+    kept = whole.join(stay, _NAMES, "left_semi").groupBy(*_NAMES).agg(F.min_by("row", plain).alias("row"))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

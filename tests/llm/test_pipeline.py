@@ -4,7 +4,7 @@ from motiflake.llm import langid, packing
 from . import test_packing, test_pii
 from .data import SF, odd
 from .test_packing import reference  # noqa: F401
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_kept
 
 
 def test_stages(spark, reference, tmp_path):  # noqa: F811
@@ -21,8 +21,8 @@ def test_stages(spark, reference, tmp_path):  # noqa: F811
     fine = {r.doc_id for r in langid.identify(spark, docs, model).collect() if r.lang_pred != "und" and r.score >= langid.LEAST}
     assert sorted(rows["language"]) == sorted(r for r in before if r.doc_id in fine)
     kept = rows["language"]
-    roots = brute_components([r.doc_id for r in kept], [brute_fingerprint(r.text) for r in kept])
-    assert sorted(rows["near_duplicates"]) == sorted(r for r, c in zip(kept, roots, strict=True) if r.doc_id == c)
+    stay = set(brute_kept([(r.doc_id, r.text) for r in kept]))
+    assert sorted(rows["near_duplicates"]) == sorted(r for r in kept if r.doc_id in stay)
     masked = {r.doc_id: r for r in rows["personal_data"]}
     assert set(masked) == {r.doc_id for r in rows["near_duplicates"]}
     for r in rows["near_duplicates"]:
@@ -50,3 +50,17 @@ def test_odd_documents_and_an_empty_table(spark, tmp_path):
     assert len(corpus_pipeline.run(spark, f"{tmp_path}/odd").collect())
     spark.createDataFrame([], names).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_similar_texts_leave_one(spark, tmp_path):
+    words = [f"w{i}" for i in range(400)]
+    near = " ".join("new" if i % 80 == 40 else w for i, w in enumerate(words))
+    rows = [(1, " ".join(words), "en", "a", 1), (2, near, "en", "a", 1), (3, "another text of other words altogether", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted({r.doc_id for r in docs.collect()}) == [1, 3]
+
+
+def test_stages_are_the_five_that_were_asked_for():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "personal_data", "mixture", "packing"]

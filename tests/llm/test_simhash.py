@@ -5,7 +5,7 @@ import xxhash
 
 from motiflake.llm import simhash
 
-from .data import ODD, documents, texts
+from .data import ODD, documents, odd, texts
 
 
 def brute_fingerprint(t):
@@ -72,14 +72,124 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert all(got[i] == 100 for i in range(101, 161)) and all(got[i] == 500 for i in range(501, 560))
 
 
-def test_one_document_of_each_group_stays(spark):
-    docs = spark.createDataFrame([(i, f"the same long text again and again {i % 3 * 'x y z '}", "en", "a", 1) for i in range(9)] + [(3, "the same long text again and again ", "en", "a", 1), (None, "lonely", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted((r.doc_id or -1) for r in simhash.deduplicated(spark, docs).collect()) in ([-1, -1, 1, 2], [-1, 0, 1, 2], [-1, -1, 1])
+def brute_shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()}
+
+
+def brute_links(rows):
+    """All pairs of similarity 0.8 or more."""
+    sets = [brute_shingles(r[1]) for r in rows]
+    return [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b))]
+
+
+def brute_kept(rows):
+    """The least id of each group of texts of similarity 0.8 or more, by all pairs."""
+    ids = [r[0] for r in rows]
+    label = list(range(len(ids)))
+    find = lambda x: x if label[x] == x else find(label[x])
+    for i, j in brute_links(rows):
+        label[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(least.values())
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.choice(len(out), n, replace=False):
+        out[at] = f"new{rng.integers(10**9)}"
+    return out
+
+
+def test_wider_segments_find_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+    for scheme in simhash.SCHEMES[1:]:
+        monkeypatch.setattr(simhash, "SCHEMES", (scheme,))
+        assert sorted(r.doc_id for r in simhash.deduplicated(spark, docs).collect()) == want
+
+
+def test_similar_texts_leave_one(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 500, int(rng.integers(100, 400)))]
+        rows += [" ".join(edited(rng, words, int(rng.integers(0, len(words) // 40)))) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(rng.permutation(rows).tolist())]
+    got = simhash.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == brute_kept(rows)
+
+
+def test_recall_of_pairs_at_the_least_similarity(spark):
+    """Pairs alone, of a similarity from 0.8 to 0.83 and from 0.7 to 0.8: most of the first are found, none of the second."""
+    rng, rows, far = np.random.default_rng(9), [], 0
+    for k in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        other = edited(rng, words, int(rng.integers(5, 9)))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    linked = {i // 2 for i, _ in brute_links(rows)}
+    pairs = [(brute_shingles(a[1]), brute_shingles(b[1])) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    near = [k for k, (a, b) in enumerate(pairs) if 0.8 <= len(a & b) / len(a | b) < 0.83]
+    got = {r.doc_id for r in simhash.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i // 2 for i, _ in rows if i not in got}
+    assert len(near) > 40 and gone <= linked and sum(k in gone for k in near) >= 0.97 * len(near)
+
+
+def test_all_similar_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+    got = simhash.deduplicated(spark, docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_large_groups_of_near_copies_need_few_links(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    rows = [(i, " ".join(edited(rng, words, int(rng.integers(0, 5))))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in simhash.deduplicated(spark, docs).collect()] == [0]
+    classes = docs.select("text").mapInArrow(simhash._signed(28, 20), "c long, near0 long, near1 long, segments array<long>").dropDuplicates(["c"])
+    pairs = simhash._meetings(classes, 20, ["near0", "near1"]).mapInArrow(simhash._met(simhash.NEAR, False), "a long, b long").distinct()
+    assert pairs.count() < 150 * 1500
+
+
+def test_forest_of_a_bucket_connects_what_all_its_links_connect():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    near = np.concatenate([rng.integers(0, 2**63, (3, 1)).repeat(20, axis=0) ^ (1 << rng.integers(0, 60, (60, 1))), rng.integers(0, 2**63, (30, 1))])
+    sig = np.sort(rng.integers(0, 3, 90))
+    batch = pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.arange(90)), pa.array(near[:, 0])], ["sig", "c", "near"])
+    found = {}
+    for listed in (True, False):
+        for size in (90, 7):
+            out = [(a, b) for r in simhash._met(3, listed)(iter([batch.slice(i, size) for i in range(0, 90, size)])) for a, b in zip(*(x.to_pylist() for x in r.columns), strict=True)]
+            found[listed, size] = out
+    assert sorted(found[True, 90]) == sorted(found[True, 7]) and sorted(found[False, 90]) == sorted(found[False, 7])
+    assert set(found[False, 90]) <= set(found[True, 90]) and len(found[False, 90]) < len(found[True, 90]) / 2
+    join = lambda edges: brute_groups(90, edges)
+    assert join(found[True, 90]) == join(found[False, 90])
+
+
+def brute_groups(n, edges):
+    label = list(range(n))
+    find = lambda x: x if label[x] == x else find(label[x])
+    for i, j in edges:
+        label[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
+
+
+def test_odd_rows_of_similar_texts(spark):
+    got = simhash.deduplicated(spark, odd(spark)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, i) for i in (1, 4, 5, 6, 8, 9, 10, 11, 12)] + [(True, 0)]
+    assert simhash.deduplicated(spark, odd(spark, ODD).limit(0)).collect() == []
 
 
 def test_one_row_of_each_group_stays(spark):
     words = " ".join(f"w{i}" for i in range(400))
     other = " ".join(f"v{i}" for i in range(400))
-    rows = [(3, words), (5, words), (None, words), (None, other), (None, other), (7, "one more text"), (7, "another text of the same id"), (9, None), (10, "")]
-    kept = simhash.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(kept, key=str) == sorted([(3, words), (None, other), (7, "one more text"), (7, "another text of the same id"), (9, None)], key=str)
+    rows = [(3, words, "b"), (3, words, "a"), (5, words, "a"), (None, words, "a"), (None, other, "b"), (None, other, "a"), (7, "one more text", "a"), (7, "another text of the same id", "a"), (9, None, "a"), (10, "", "a")]
+    kept = simhash.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(kept, key=str) == sorted([(3, words, "a"), (None, other, "a"), (7, "one more text", "a"), (7, "another text of the same id", "a"), (9, None, "a")], key=str)
