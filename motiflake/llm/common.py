@@ -111,12 +111,14 @@ def ranked(spark: SparkSession, df: DataFrame, keys: list[str], rank: str = "ran
     return ordered.select(*[F.col(a).alias(b) for a, b in zip(names, df.columns, strict=True)], place.cast("long").alias(rank))
 
 
-def splitters(ranks: DataFrame, keys: list[str], n: int, pieces: int, rank: str = "rank") -> list[tuple]:
-    """The keys at which pieces of equal row counts begin (but the first): at most `pieces` - 1 rows reach the driver.
+def splitters(ranks: DataFrame, keys: list[str], n: int, pieces: int, rank: str = "rank", shift: int = 0) -> list[tuple]:
+    """The keys at which pieces of equal row counts begin (but the first), or those `shift` rows behind (before, if
+    negative), as far as there are rows: at most `pieces` - 1 rows reach the driver.
 
     They depend on the rows alone, not on how Spark partitioned them."""
     step = max(1, -(-n // max(1, pieces)))
-    rows = ranks.filter((F.col(rank) > 0) & (F.col(rank) % step == 0)).select(*keys, rank).collect()
+    first = F.col(rank) - shift
+    rows = ranks.filter((first > 0) & (first < n) & (first % step == 0)).select(*keys, rank).collect()
     return [tuple(r[k] for k in keys) for r in sorted(rows, key=lambda r: r[rank])]
 
 
