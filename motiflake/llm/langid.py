@@ -23,13 +23,14 @@ from .common import lean, read, share_code
 #: Trigrams are hashed to this many buckets.
 BUCKETS = 1 << 16
 #: Documents of each language that the model is fitted on, about: those whose hash falls below a threshold from counts.
-SAMPLE = 3_000
+#: Languages that are learned at most, those of most documents: the model's table grows with them.
+SAMPLE, LABELS = 3_000, 256
 #: Log-probability that a switch of language costs, in nats.
 SWITCH = 12.0
 #: A text is of no language if less than this share of its letters is in any one: a text in one language that quotes others,
 #: or a short one with a notice in another, still is of its own.
 LEAST = 0.3
-#: Words whose scores are held at once, times languages.
+#: Words whose scores are held at once, times languages; letters too.
 BLOCK = 2_000_000
 #: A script belongs to a language if it has this share of its letters.
 SCRIPT_SHARE = 0.01
@@ -47,19 +48,20 @@ NAMES = tuple(dict.fromkeys(n for _, n in SCRIPTS))
 
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: whether it is a letter, the lower-case code point (if it is a single one), the script."""
+    """By code point: 1 for a letter, 2 for a mark that may go on a word, else 0; the lower-case code point (if it is a
+    single one); the script."""
     top = 0x110000
-    letter, lower, script = np.zeros(top, dtype=bool), np.arange(top, dtype=np.uint32), np.zeros(top, dtype=np.uint8)
+    letter, lower, script = np.zeros(top, dtype=np.uint8), np.arange(top, dtype=np.uint32), np.zeros(top, dtype=np.uint8)
     for c in range(0x40000):
         if 0xD800 <= c < 0xE000:
             continue
         s = chr(c)
         if s.isalpha():
-            letter[c] = True
+            letter[c] = 1
             if len(low := s.lower()) == 1:
                 lower[c] = ord(low)
         elif unicodedata.category(s)[0] == "M":
-            letter[c] = c >= 0x900  # vowel signs are part of words; a combining accent alone is no letter
+            letter[c] = 2 * (c >= 0x900)  # vowel signs are part of words, and make none
     for (at, name), (end, _) in zip(SCRIPTS, (*SCRIPTS[1:], (top, "")), strict=True):
         script[at:end] = NAMES.index(name)
     return letter, lower, script
@@ -78,8 +80,14 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     in the text, and its script."""
     letter, lower, script = _tables()
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    is_letter = letter[codes]
-    at = np.flatnonzero(is_letter)
+    kind = letter[codes]
+    at = np.flatnonzero(kind)
+    if (kind == 2).any():  # a run of marks alone is no word
+        starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        words = np.maximum.reduceat(kind[at] == 1, starts)
+        at = at[np.repeat(words, np.diff(starts, append=len(at)))]
+    is_letter = np.zeros(len(codes), dtype=bool)
+    is_letter[at] = True
     if not len(at):
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty, empty
@@ -115,10 +123,11 @@ def fit(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Model | N
     """The model from text and lang of labelled rows that aren't held out; None if there are none.
 
     About `sample` documents of each language are read, those whose hash of id and text is least: a threshold from the
-    languages' counts, so no language is sorted or gathered. The driver gets at most BUCKETS counts a language."""
+    languages' counts, so no language is sorted or gathered. Of more than LABELS languages, those of most documents (then the
+    least in order) are learned. The driver gets at most BUCKETS counts a language."""
     share_code(spark)
     known = docs.select("text", "lang", "doc_id").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out(F.col("doc_id")), F.lit(True)))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()}
     if not sizes:
         return None
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 12) / F.lit(float(1 << 52))
@@ -172,20 +181,66 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return out
 
 
+def _scores(model: Model, bucket: np.ndarray, starts: np.ndarray, script: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """words x languages: the score of each word; and whether no language has its script."""
+    s = np.add.reduceat(model.table[bucket], starts, axis=0, dtype=np.float64) if len(starts) else np.zeros((0, len(model.langs)))
+    fits = model.scripts[script]
+    none = ~fits.any(axis=1)
+    s[~fits] = -1e4
+    s[none] = 0
+    return s, none
+
+
+def _label_long(model: Model, part: tuple, block: int = BLOCK, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_label() of one text, in blocks of words that hold about `block` letters times languages: a first pass keeps the scores with which
+    each block begins, a second one goes back from block to block."""
+    bucket, starts, begin, script = part
+    size = np.diff(starts, append=len(bucket))
+    step = np.searchsorted(starts, np.arange(0, len(bucket), max(1, block // len(model.langs))))
+    cuts = [*np.unique(step[step < len(starts)]).tolist(), len(starts)]
+
+    def scores(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        end = starts[b] if b < len(starts) else len(bucket)
+        return _scores(model, bucket[starts[a] : end], starts[a:b] - starts[a], script[a:b])
+
+    def forward(v: np.ndarray | None, s: np.ndarray, back: list | None = None) -> np.ndarray:
+        for row in s:
+            if v is None:
+                v = row.copy()
+                continue
+            top = int(v.argmax())
+            moved = v[top] - switch > v
+            if back is not None:
+                back.append((top, moved))
+            v = np.where(moved, v[top] - switch, v) + row
+        return v
+
+    v, before, evidence = None, [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        before.append(v)
+        s, none = scores(a, b)
+        evidence.append(~none)
+        v = forward(v, s)
+    labels, label = np.zeros(len(starts), np.int64), int(v.argmax())
+    for (a, b), v in reversed(list(zip(zip(cuts, cuts[1:], strict=False), before, strict=True))):
+        back: list = []
+        forward(v, scores(a, b)[0], back)
+        for t in range(b - 1, a - 1, -1):
+            labels[t] = label
+            if t > a or v is not None:
+                top, moved = back.pop()
+                label = top if moved[label] else label
+    return labels, begin, size, np.concatenate(evidence)
+
+
 def _label(model: Model, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text: label, begin (in the text), letters and evidence (false: no candidate in that script) of its words."""
     parts = [features(t) for t in texts]
+    if len(parts) == 1 and len(parts[0][0]) * len(model.langs) > BLOCK:
+        return [_label_long(model, parts[0])]
     lengths = np.array([len(p[1]) for p in parts])
-    scores, letters = [], []
-    for bucket, starts, _, script in parts:
-        size = np.diff(starts, append=len(bucket))
-        letters.append(size)
-        s = np.add.reduceat(model.table[bucket], starts, axis=0, dtype=np.float64) if len(starts) else np.zeros((0, len(model.langs)))
-        fits = model.scripts[script]
-        none = ~fits.any(axis=1)
-        s[~fits] = -1e4
-        s[none] = 0
-        scores.append((s, none))
+    letters = [np.diff(starts, append=len(bucket)) for bucket, starts, _, _ in parts]
+    scores = [_scores(model, *p[:2], p[3]) for p in parts]
     labels = viterbi(np.concatenate([s for s, _ in scores]), lengths) if len(parts) else np.zeros(0, np.int64)
     cuts = np.cumsum(lengths)[:-1]
     return [(a, p[2], n, ~none) for a, p, n, (_, none) in zip(np.split(labels, cuts), parts, letters, scores, strict=True)]
@@ -229,7 +284,9 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None, spans: b
     """doc_id, lang_pred, score and lang_spans (start, end, lang; in code points) of every row.
 
     score is the share of the text's letters in words labelled lang_pred. `und` with score 0: a null text, one without
-    letters, or no model. A text in scripts that no learned language has gets the commonest language with score 0."""
+    letters (marks and digits are none), or no model. A text in scripts that no learned language has gets the commonest
+    language with score 0. A text of any length is labelled whole, in blocks of words; repeated rows give one row each, rows
+    without id too; an empty table gives none; other columns are left out."""
     share_code(spark)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_predicted(model, spans)), "doc_id long, lang_pred string, score double, lang_spans array<struct<start:long,end:long,lang:string>>")
 
@@ -253,6 +310,7 @@ def accepted(spark: SparkSession, docs: DataFrame, model: Model | None, least: f
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: the language of every document."""
+    """op5: the language of every document, and its spans as start:end:lang, comma-joined."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return identify(spark, docs, fit(spark, docs), spans=False).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    spans = F.array_join(F.transform("lang_spans", lambda x: F.concat_ws(":", x["start"], x["end"], x["lang"])), ",")
+    return identify(spark, docs, fit(spark, docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", spans.alias("lang_spans"))

@@ -53,6 +53,71 @@ def test_viterbi_is_the_best_path():
         at += n
 
 
+def test_long_texts_are_labelled_in_blocks_as_in_one(spark):
+    model = langid.fit(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
+    text = "\n".join(texts) + " привет ःः \n" + " ".join(texts[:5])
+    (whole,) = langid._label(model, [text])
+    assert len(set(whole[0].tolist())) > 1
+    for block in (40, 5_000, 100_000):
+        cut = langid._label_long(model, langid.features(text), block)
+        assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+
+
+def test_a_text_of_millions_of_characters(spark, tmp_path):
+    rows = [(i, f"the words of text {i} are english", "en", "a") for i in range(9)] + [(i, f"die wörter im text {i} sind deutsch", "de", "a") for i in range(9, 18)]
+    rows.append((100, "die wörter sind deutsch " * 150_000, None, "a"))
+    found = {r.doc_id: r for r in langid.query(spark, documents(spark, tmp_path, rows)).collect()}
+    assert found[100].lang_pred == "de" and found[100].score > 0.99
+
+
+def test_marks_alone_are_no_letters(spark):
+    for text in ("ःः ा", "\u0301", "١٢ ৎ৷"[:2], "़"):
+        assert not len(langid.features(text)[0])
+    bucket, starts, begin, _ = langid.features("ा कि ः x")
+    assert begin.tolist() == [2, 7] and len(bucket) == 3
+    model = langid.fit(spark, spark.createDataFrame([(i, "हिन्दी में शब्द", "hi") for i in range(30)], "doc_id long, text string, lang string"))
+    by = {r.doc_id: r for r in langid.identify(spark, spark.createDataFrame([(1, "ःः ा"), (2, "शब्द")], "doc_id long, text string"), model).collect()}
+    assert (by[1].lang_pred, by[1].score) == ("und", 0) and (by[2].lang_pred, by[2].score) == ("hi", 1)
+
+
+def test_junk_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LABELS", 3)
+    rows = [(i, "some words", f"l{i % 50:02}") for i in range(300)] + [(1000 + i, "more words", f"l{i % 2 + 7:02}") for i in range(30)]
+    model = langid.fit(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 3 and {"l07", "l08"} <= set(model.langs)
+
+
+def test_predictions_are_the_best_path_of_the_counts(spark):
+    """A model of two languages, recounted from the sample with plain Python: the spans of short texts by all paths."""
+    from collections import Counter
+
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("aba baab ab", "x"), ("cdc dccd cd ab", "y")] * 30)]
+    model = langid.fit(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def grams(word):
+        w = f" {word} "
+        out = []
+        for i in range(len(word)):
+            h = (ord(w[i]) * 0x9E3779B1 ^ ord(w[i + 1]) * 0x85EBCA6B ^ ord(w[i + 2]) * 0xC2B2AE35) % 2**32
+            out.append(((h ^ h >> 15) * 0x2C1B3C6D) % 2**32 >> 16)
+        return out
+
+    counts = {lang: Counter(g for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 3 != 1 for w in t.split() for g in grams(w)) for lang in "xy"}
+    score = {lang: lambda w, n=n: sum(np.log((n[g] + 0.5) / (n.total() + 0.5 * langid.BUCKETS)) for g in grams(w)) for lang, n in counts.items()}
+    texts = ["ab ab cd", "cd", "ab baab dccd cdc cd ab", "aba " * 4 + "cdc " * 4, "ba dc ba dc"]
+    got = langid.identify(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        words = texts[r.doc_id].split()
+        value = lambda p: sum(score[a](w) for a, w in zip(p, words, strict=True)) - langid.SWITCH * sum(a != b for a, b in itertools.pairwise(p))  # noqa: E731, B023
+        best = max(itertools.product("xy", repeat=len(words)), key=value)
+        share = Counter()
+        for lang, w in zip(best, words, strict=True):
+            share[lang] += len(w)
+        assert (r.lang_pred, round(r.score, 9)) == (share.most_common(1)[0][0], round(share.most_common(1)[0][1] / share.total(), 9))
+        assert [s.lang for s in r.lang_spans] == [a for a, _ in itertools.groupby(best)]
+
+
 def test_spans_of_mixed_text_and_scripts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(spark, docs)
