@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import piece_of, ranked, read, share_code, splitters, written
+from .common import lean, piece_of, ranked, read, share_code, splitters, written
 
 ROLES = ("system", "user", "assistant")
 #: Speakers as transcripts name them. Fixed values.
@@ -259,22 +259,24 @@ def parse(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
     """conv_id, turn, role_pred (the role of most of the row's text), n_turns and rendered (the row's turns in canonical
     form) of every row of `rows` (conv_id, turn, text).
 
-    Rows count in the order of turn (null last), then of text; rows that repeat exactly count once. A null or blank text
-    has no turns and no role. Rows without conv_id are one conversation. A transcript is a conversation of one row."""
+    Rows count in the order of turn (null last), then of text; rows that repeat exactly are so many turns, and each is
+    returned. A null or blank text has no turns and no role. Rows without conv_id are one conversation. A transcript is a
+    conversation of one row. A conversation of any length, and a text of any, is labelled as a whole; an empty table gives
+    no rows; other columns are left out."""
     share_code(spark)
-    base = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text").distinct()
+    base = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text", F.monotonically_increasing_id().alias("n_"))
     base = written(spark, base, "turns")
     base = base.withColumns({"c_": F.coalesce("conv_id", F.lit(-(2**63))), "t_": F.coalesce("turn", F.lit(2**63 - 1)), "h_": F.xxhash64("text")})
-    keys, types = ["c_", "t_", "h_"], ["long"] * 3
+    keys, types = ["c_", "t_", "h_", "n_"], ["long"] * 4
     places = ranked(spark, base.select(*keys), keys)
     n = places.count()
     cuts = splitters(places, keys, n, max(PIECES[0], min(PIECES[1], n // PIECE_ROWS)))
-    dealt = base.withColumn("piece", piece_of([F.col(k) for k in keys], types, cuts)).repartition("piece").sortWithinPartitions("piece", *keys, "text")
+    dealt = base.withColumn("piece", piece_of([F.col(k) for k in keys], types, cuts)).repartitionById(len(cuts) + 1, F.col("piece")).sortWithinPartitions("piece", *keys, "text")
     dealt = dealt.select("piece", "conv_id", "turn", "text")
-    entries = [(r.piece, r.conv_id, r.begin, r.table) for r in dealt.mapInArrow(_tables(model), "piece int, conv_id long, begin array<long>, table array<long>").collect()]
+    entries = [(r.piece, r.conv_id, r.begin, r.table) for r in dealt.mapInArrow(lean(_tables(model)), "piece int, conv_id long, begin array<long>, table array<long>").collect()]
     entries.sort(key=lambda e: e[0])  # of a piece, the first run comes before the last
     into, end = chain(entries)
-    return dealt.mapInArrow(_labelled(model, into, end), "conv_id long, turn long, role_pred string, n_turns int, rendered string")
+    return dealt.mapInArrow(lean(_labelled(model, into, end)), "conv_id long, turn long, role_pred string, n_turns int, rendered string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

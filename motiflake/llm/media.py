@@ -111,7 +111,9 @@ def with_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """For every row of `docs` (doc_id, text): n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of the last 64
     bytes) of the payload as read back, the file itself (media), and its fingerprint: times (ms) and codes, in step.
 
-    A null text is empty; an empty one is 64 zero bytes. Equal texts give equal values. Other columns are left out."""
+    A null text is empty; an empty one is 64 zero bytes. Equal texts give equal values, rows that repeat one row each. A text
+    of any length is stored and transformed whole, CHUNK frames at a time; an empty table gives none. Other columns are left
+    out."""
     share_code(spark)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_stored, _SCHEMA)
 

@@ -81,7 +81,7 @@ def test_mask_leaves_no_base_span_and_the_rest_as_it_is(spark):
         assert sum(brute(masked[i])[0]) == 0
 
 
-@pytest.mark.parametrize(("text", "kinds"), [("DE89 3704 0044 0532 0130 00", ["iban"]), ("DE89 3704 0044 0532 0130 01", []), ("123-45-6789", []), ("SSN 123-45-6789", ["ssn"]), ("ssn 000-45-6789", [])])
+@pytest.mark.parametrize(("text", "kinds"), [("DE89 3704 0044 0532 0130 00", ["iban"]), ("DE89 3704 0044 0532 0130 01", []), ("123-45-6789", []), ("SSN 123-45-6789", ["ssn"]), ("ssn 000-45-6789", []), ("bank DE89 3704 0044 0532 0130 00", ["iban"]), ("born 2001-02-28", ["born"]), ("on 2001-02-28", []), ("date of birth: 31.12.1999", ["born"]), ("date of birth: 31.13.1999", []), ("born 2001-31-02", []), ("commit build of birth 2001-02-28", [])])
 def test_added_kinds(spark, text, kinds):
     r = pii.find_spans(spark.createDataFrame([(text,)], "text string")).first()
     assert [s.kind for s in r.pii] == kinds
@@ -90,3 +90,18 @@ def test_added_kinds(spark, text, kinds):
 def test_context_raises_the_score(spark):
     near, far = (pii.find_spans(spark.createDataFrame([(t,)], "text string")).first().pii[0].score for t in ("visa 4111111111111111", "zzz 4111111111111111"))
     assert near > far >= pii.ACCEPT
+
+
+def test_context_decides_both_ways(spark):
+    """The same numbers: words near them accept or reject an added kind, and never take a base span away."""
+    cases = [("DE89370400440532013000", 1), ("order DE89370400440532013000", 0), ("iban DE89370400440532013000 serial", 1), ("ssn 123-45-6789", 1), ("123-45-6789", 0), ("born 1.2.1990", 1), ("born 1.2.1990, version", 0), ("1.2.1990", 0), ("build 10.0.0.1", 1), ("order +49 30 1234567", 1), ("invoice 4111111111111111", 1)]
+    rows = [(i, t) for i, (t, _) in enumerate(cases)]
+    found = {r.doc_id: r for r in pii.digest(pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, (t, n) in enumerate(cases):
+        assert len([x for x in found[i].spans.split(",") if x]) == n == len([x for x in found[i].scores.split(",") if x]), t
+    assert float(found[8].scores) < 0.5 <= float(found[0].scores) and float(found[2].scores) < 1
+
+
+def test_a_score_for_every_span(spark):
+    for r in pii.query(spark, SF).collect():
+        assert r.spans.count(",") == r.scores.count(",") and bool(r.spans) == bool(r.scores)
