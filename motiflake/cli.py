@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from collections.abc import Sequence
 
@@ -16,6 +17,7 @@ PROG = "motiflake"
 
 
 def build_parser() -> argparse.ArgumentParser:
+    # Flags, choices and defaults, as scripts call them.
     p = argparse.ArgumentParser(prog=PROG, description="Find a pattern in the records of a FASTA or FASTQ file.")
     add = p.add_argument
     add("pattern", help="nucleotides or residues, with IUPAC letters if an ambiguity mode is on")
@@ -57,8 +59,9 @@ def run(args: argparse.Namespace, out=None) -> int:
     query = SearchQuery(args.pattern, args.revcomp, args.circular, sequence_type=args.sequence_type, ambig_mode=args.ambig_mode)
     if args.with_header:
         print(tsv.HEADER, file=out, flush=True)
-    with open(args.input, "rb"):
-        fmt = infer_format(args.input, args.format)
+    if not os.path.isdir(args.input):
+        open(args.input, "rb").close()
+    fmt = infer_format(args.input, args.format)
     from .operators.search import ordered, search
     from .sources.fastx import read_fastx
 
@@ -72,7 +75,9 @@ def run(args: argparse.Namespace, out=None) -> int:
 def _session():
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession() or SparkSession.builder.appName(PROG).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    if found := SparkSession.getActiveSession():
+        return found
+    spark = SparkSession.builder.appName(PROG).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     return spark
 

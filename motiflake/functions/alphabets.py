@@ -9,9 +9,13 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import share_code
+from . import kernels as k
+
 NUCLEOTIDE, AMINO_ACID = "nucleotide", "amino-acid"
 
 # Codes, masks, complements and symbol order as results carry them.
@@ -112,9 +116,11 @@ def reverse_complemented(pattern: str) -> str:
 
 def encode(sequence: Column, alphabet: Alphabet) -> Column:
     """One byte for each symbol: its code. Normalises and validates."""
-    table = F.create_map(*[F.lit(x) for s, c in alphabet.codes.items() for x in (s, f"{c:02X}")])
-    plain = validate(normalize(sequence), alphabet)
-    return F.unhex(F.array_join(F.transform(F.filter(F.split(plain, ""), lambda s: s != ""), lambda s: F.element_at(table, s)), ""))
+    table = k.table(alphabet.codes)
+    if spark := SparkSession.getActiveSession():
+        share_code(spark)
+    coded = F.arrow_udf(k.each(lambda plain: k.ascii_codes(plain, table).tobytes(), pa.binary()), "binary")
+    return coded(validate(normalize(sequence), alphabet))
 
 
 def _encoder(alphabet: Alphabet) -> Callable[[Column], Column]:

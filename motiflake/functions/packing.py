@@ -1,19 +1,23 @@
 """Bit-packed sequences as columns.
 
-A digit string in base 2, 4 or 32 is cut into groups that fill whole bytes and fit 64 bits; conv() turns each group into
-hexadecimal digits, unhex() the joined digits into bytes. Everything is linear in the sequence and stays in the JVM.
+A sequence is normalised and validated by column expressions; Arrow kernels pack whole sequences. symbol_at() reads the bytes
+that hold one symbol, with built-in functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import share_code
 from . import alphabets as a
+from . import kernels as k
 
-_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-#: Base: (digits of a group, bytes of a group).
-_GROUPS = {2: (56, 7), 4: (28, 7), 32: (8, 5)}
 #: Target encodings, as results name them. Fixed values.
 BYTES = "byte"
 TWO_BIT = "nucleotide-2bit-code"
@@ -24,114 +28,104 @@ IUPAC_VALID_GAP = "nucleotide-2bit-valid-gap-mask"
 IUPAC_5BIT = "nucleotide-iupac-5bit-mask"
 PROTEIN_5BIT = "protein-5bit"
 
+_TARGET = "struct<data:binary,length:bigint,encoding:string>"
+_TARGET_ARROW = pa.struct([("data", pa.binary()), ("length", pa.int64()), ("encoding", pa.string())])
+_FIVE = {EXACT_5BIT: a.EXACT, IUPAC_5BIT: a.IUPAC, PROTEIN_5BIT: a.PROTEIN}
 
-def _length(text: Column) -> Column:
-    return F.length(text).cast("long")
-
-
-def _up(n: Column, by: int) -> Column:
-    return F.floor((n + (by - 1)) / by).cast("long")
 
+@cache
+def _codes_of(encoding: str) -> np.ndarray:
+    return k.table(_FIVE[encoding].codes)
 
-def _pack(digits: Column, base: int, bits: int) -> Column:
-    """Bytes of a digit string, `bits` for each digit, filled up with zero bits."""
-    group, size = _GROUPS[base]
-    count = _length(digits)
-    full = F.rpad(digits, (_up(count, group) * group).cast("int"), "0")
-    hexed = F.transform(F.regexp_extract_all(full, F.lit(f".{{{group}}}"), F.lit(0)), lambda g: F.lpad(F.conv(g, base, 16), 2 * size, "0"))
-    return F.substring(F.unhex(F.array_join(hexed, "")), F.lit(1), _up(count * bits, 8).cast("int"))
 
+@cache
+def _two_bit_codes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By symbol: 2-bit code, whether it is canonical, whether it is a gap."""
+    symbols = a.IUPAC_MASKS
+    return k.table({s: a.TWO_BIT_CODES.get(s, 0) for s in symbols}), k.table({s: s in a.CANONICAL for s in symbols}), k.table({s: s in a.GAPS for s in symbols})
 
-def _unpack(packed: Column, base: int, count: Column) -> Column:
-    """The first `count` digits that _pack() packed."""
-    group, size = _GROUPS[base]
-    text = F.hex(packed)
-    full = F.rpad(text, (_up(_length(text), 2 * size) * 2 * size).cast("int"), "0")
-    digits = F.transform(F.regexp_extract_all(full, F.lit(f".{{{2 * size}}}"), F.lit(0)), lambda g: F.lpad(F.conv(g, 16, base), group, "0"))
-    return F.substring(F.array_join(digits, ""), F.lit(1), count.cast("int"))
 
+def _packed(plain: str, encoding: str) -> dict:
+    """The target of a valid sequence; IUPAC_VALID becomes IUPAC_VALID_GAP if there are gaps."""
+    if encoding in _FIVE:
+        data = k.pack(k.ascii_codes(plain, _codes_of(encoding)), 5)
+    else:
+        two, valid, gap = (k.ascii_codes(plain, t) for t in _two_bit_codes())
+        data = k.pack(two, 2)
+        if encoding == IUPAC_VALID:
+            data += k.pack(valid, 1)
+            if gap.any():
+                data, encoding = data + k.pack(gap, 1), IUPAC_VALID_GAP
+    return {"data": data, "length": len(plain), "encoding": encoding}
 
-def _digits(plain: Column, codes: dict[str, int]) -> Column:
-    return F.translate(plain, "".join(codes), "".join(_DIGITS[c] for c in codes.values()))
 
+def _kernel(run: Callable, kind: pa.DataType, sql: str) -> Callable[..., Column]:
+    def call(*columns: Column) -> Column:
+        if spark := SparkSession.getActiveSession():
+            share_code(spark)
+        return F.arrow_udf(k.each(run, kind), sql)(*columns)
 
-def _struct(data: Column, plain: Column, encoding: Column | str) -> Column:
-    return F.struct(data.alias("data"), _length(plain).alias("length"), (F.lit(encoding) if isinstance(encoding, str) else encoding).alias("encoding"))
+    return call
 
 
-def _two_bit(plain: Column) -> Column:
-    return _pack(_digits(plain, a.TWO_BIT_CODES), 4, 2)
+_pack = _kernel(_packed, _TARGET_ARROW, _TARGET)
 
 
-def _five_bit(plain: Column, alphabet: a.Alphabet) -> Column:
-    return _pack(_digits(plain, dict(alphabet.codes)), 32, 5)
+def _up(n: Column, by: int) -> Column:
+    return F.floor((n + (by - 1)) / by).cast("long")
 
 
 def pack_nucleotide_2bit(sequence: Column) -> Column:
     """struct(data, length, encoding): 4 bases a byte, the first in the top bits. Only A, C, G, T and U."""
     plain = a.normalize(sequence)
     bad = F.regexp_extract(plain, "([^ACGTU])", 1)
-    message = F.concat(F.lit("2-bit nucleotide encoding only supports A, C, G, T, or U; found '"), bad, F.lit("'"))
-    plain = F.when(plain.rlike("[^ACGTU]"), F.raise_error(message).cast("string")).otherwise(plain)
-    return _struct(_two_bit(plain), plain, TWO_BIT)
+    where = F.regexp_instr(plain, F.lit("[^ACGTU]")).cast("string")
+    message = F.concat(F.lit("2-bit nucleotide encoding only supports A, C, G, T, or U; found '"), bad, F.lit("' at position "), where)
+    return _pack(F.when(plain.rlike("[^ACGTU]"), F.raise_error(message).cast("string")).otherwise(plain), F.lit(TWO_BIT))
 
 
 def pack_nucleotide_exact_5bit(sequence: Column) -> Column:
-    plain = a.validate(a.normalize(sequence), a.EXACT)
-    return _struct(_five_bit(plain, a.EXACT), plain, EXACT_5BIT)
+    return _pack(a.validate(a.normalize(sequence), a.EXACT), F.lit(EXACT_5BIT))
 
 
 def pack_nucleotide_iupac_masks_5bit(sequence: Column) -> Column:
-    plain = a.validate(a.normalize(sequence), a.IUPAC)
-    return _struct(_five_bit(plain, a.IUPAC), plain, IUPAC_5BIT)
+    return _pack(a.validate(a.normalize(sequence), a.IUPAC), F.lit(IUPAC_5BIT))
 
 
 def pack_protein_5bit(sequence: Column) -> Column:
-    plain = a.validate(a.normalize(sequence), a.PROTEIN)
-    return _struct(_five_bit(plain, a.PROTEIN), plain, PROTEIN_5BIT)
+    return _pack(a.validate(a.normalize(sequence), a.PROTEIN), F.lit(PROTEIN_5BIT))
 
 
-def _target(plain: Column) -> tuple[Column, Column]:
+def pack_nucleotide_iupac_target(sequence: Column) -> Column:
     """2-bit codes, then a bitmap of canonical bases, then one of gaps if there are any."""
-    symbols = "".join(a.IUPAC_MASKS)
-    codes = _pack(F.translate(plain, symbols, "".join(str(a.TWO_BIT_CODES.get(s, 0)) for s in symbols)), 4, 2)
-    valid = _pack(F.translate(plain, symbols, "".join("01"[s in a.CANONICAL] for s in symbols)), 2, 1)
-    gaps = _pack(F.translate(plain, symbols, "".join("01"[s in a.GAPS] for s in symbols)), 2, 1)
-    has_gap = plain.rlike(r"[-.]")
-    return F.when(has_gap, F.concat(codes, valid, gaps)).otherwise(F.concat(codes, valid)), F.when(has_gap, IUPAC_VALID_GAP).otherwise(IUPAC_VALID)
+    return _pack(a.validate(a.normalize(sequence), a.IUPAC_TARGET), F.lit(IUPAC_VALID))
 
 
-def pack_nucleotide_iupac_target(sequence: Column) -> Column:
-    plain = a.validate(a.normalize(sequence), a.IUPAC_TARGET)
-    data, encoding = _target(plain)
-    return _struct(data, plain, encoding)
+#: By mode: the alphabet of targets, the encoding of canonical ones, that of others.
+_CHOICES = {"none": (a.EXACT, TWO_BIT, EXACT_5BIT), "query": (a.IUPAC_TARGET, TWO_BIT_MASK, IUPAC_VALID), "both": (a.IUPAC, TWO_BIT_MASK, IUPAC_5BIT)}
+
+
+@cache
+def _chooser(small: str, other: str) -> Callable[[str], dict]:
+    canonical = set(a.CANONICAL)
+    return lambda plain: _packed(plain, small if canonical.issuperset(plain) else other)
 
 
 def encode_target(sequence: Column, sequence_type: str = a.NUCLEOTIDE, ambig_mode: str = "none") -> Column:
     """struct(data, length, encoding): the smallest representation that the search mode allows for this sequence."""
     if sequence_type == a.AMINO_ACID:
         return pack_protein_5bit(sequence)
-    alphabet = {"none": a.EXACT, "query": a.IUPAC_TARGET, "both": a.IUPAC}[ambig_mode]
-    plain = a.validate(a.normalize(sequence), alphabet)
-    canonical = plain.rlike("^[ACGTU]*$")
-    small = _struct(_two_bit(plain), plain, TWO_BIT if ambig_mode == "none" else TWO_BIT_MASK)
-    if ambig_mode == "none":
-        other = _struct(_five_bit(plain, a.EXACT), plain, EXACT_5BIT)
-    elif ambig_mode == "both":
-        other = _struct(_five_bit(plain, a.IUPAC), plain, IUPAC_5BIT)
-    else:
-        data, encoding = _target(plain)
-        other = _struct(data, plain, encoding)
-    return F.when(canonical, small).otherwise(other)
+    alphabet, small, other = _CHOICES[ambig_mode]
+    return _kernel(_chooser(small, other), _TARGET_ARROW, _TARGET)(a.validate(a.normalize(sequence), alphabet))
 
 
 def encoding_name(sequence: Column, sequence_type: str = a.NUCLEOTIDE, ambig_mode: str = "none") -> Column:
     """The encoding that encode_target() chooses, without packing. Input: normalised."""
     if sequence_type == a.AMINO_ACID:
         return F.lit(PROTEIN_5BIT)
-    canonical, gap = sequence.rlike("^[ACGTU]*$"), sequence.rlike("[-.]")
-    small, other = (TWO_BIT, F.lit(EXACT_5BIT)) if ambig_mode == "none" else (TWO_BIT_MASK, F.lit(IUPAC_5BIT) if ambig_mode == "both" else F.when(gap, IUPAC_VALID_GAP).otherwise(IUPAC_VALID))
-    return F.when(canonical, small).otherwise(other)
+    _, small, other = _CHOICES[ambig_mode]
+    rest = F.when(sequence.rlike("[-.]"), IUPAC_VALID_GAP).otherwise(other) if other == IUPAC_VALID else F.lit(other)
+    return F.when(sequence.rlike("^[ACGTU]*$"), small).otherwise(rest)
 
 
 def packed_size(length: Column, encoding: Column) -> Column:
@@ -147,29 +141,54 @@ def packed_size(length: Column, encoding: Column) -> Column:
     )
 
 
-def codes(target: Column) -> Column:
-    """array<int> of a packed target's codes or masks, in order."""
+def _unpacked(target: dict) -> bytes:
+    """Codes or masks of a target, a byte each."""
     data, n, encoding = target["data"], target["length"], target["encoding"]
-    value = lambda d: (F.ascii(d) - F.when(d <= "9", 48).otherwise(55)).cast("int")
-    split = lambda s: F.filter(F.split(s, ""), lambda d: d != "")
-    two = split(_unpack(data, 4, n))
-    mask = lambda d: F.element_at(F.array(*[F.lit(1 << k) for k in range(4)]), value(d) + 1)
-    bitmap = lambda k: split(_unpack(F.substring(data, (_up(n, 4) + k * _up(n, 8) + 1).cast("int"), _up(n, 8).cast("int")), 2, n))
-    valid = F.zip_with(two, bitmap(0), lambda d, v: F.when(v == "1", mask(d)).otherwise(0))
-    return (
-        F.when(encoding == TWO_BIT, F.transform(two, value))
-        .when(encoding == TWO_BIT_MASK, F.transform(two, mask))
-        .when(encoding == IUPAC_VALID, valid)
-        .when(encoding == IUPAC_VALID_GAP, F.zip_with(valid, bitmap(1), lambda m, g: F.when(g == "1", a.IUPAC_MASKS["-"]).otherwise(m)))
-        .when(encoding == BYTES, F.transform(F.regexp_extract_all(F.hex(data), F.lit(".{2}"), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int")))
-        .otherwise(F.transform(split(_unpack(data, 32, n)), value))
-    )
+    if encoding == BYTES:
+        return data[:n]
+    if encoding not in (TWO_BIT, TWO_BIT_MASK, IUPAC_VALID, IUPAC_VALID_GAP):
+        return k.unpack(data, 5, n).tobytes()
+    two, at, size = k.unpack(data, 2, n), -(-n // 4), -(-n // 8)
+    if encoding == TWO_BIT:
+        return two.tobytes()
+    mask = np.left_shift(1, two).astype(np.uint8)
+    if encoding != TWO_BIT_MASK:
+        mask *= k.unpack(data[at:], 1, n)
+    if encoding == IUPAC_VALID_GAP:
+        mask[k.unpack(data[at + size :], 1, n) == 1] = a.IUPAC_MASKS["-"]
+    return mask.tobytes()
+
+
+#: binary: a packed target's codes or masks, a byte each, in order.
+code_bytes = _kernel(_unpacked, pa.binary(), "binary")
+#: array<int>: the same as numbers.
+codes = _kernel(lambda target: list(_unpacked(target)), pa.list_(pa.int32()), "array<int>")
+
+
+def _bits(data: Column, first: Column, width: int) -> Column:
+    """The number in the `width` (8 at most) bits of `data` from bit `first` on: two bytes are read, whatever the length."""
+    two = F.rpad(F.hex(F.substring(data, (F.floor(first / 8) + 1).cast("int"), F.lit(2))), 4, "0")
+    shift = (F.lit(16 - width) - first % 8).cast("int")
+    return F.call_function("shiftright", F.conv(two, 16, 10).cast("int"), shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
 def symbol_at(target: Column, index: Column) -> Column:
-    """The code or mask at `index` (from 0) of a packed target; an index outside it is an error."""
-    n = target["length"]
-    return F.when((index < 0) | (index >= n), F.raise_error(F.lit("target index out of range")).cast("int")).otherwise(F.get(codes(target), index.cast("int")))
+    """The code or mask at `index` (from 0) of a packed target, read from the bytes that hold it; an index outside it is an
+    error."""
+    data, n, encoding, i = target["data"], target["length"], target["encoding"], index.cast("long")
+    two = _bits(data, 2 * i, 2)
+    mask = F.call_function("shiftleft", F.lit(1), two)
+    bitmap = lambda k: _bits(data, 8 * (_up(n, 4) + k * _up(n, 8)) + i, 1)
+    valid = F.when(bitmap(0) == 1, mask).otherwise(0)
+    return (
+        F.when((i < 0) | (i >= n), F.raise_error(F.lit("target index out of range")).cast("int"))
+        .when(encoding == TWO_BIT, two)
+        .when(encoding == TWO_BIT_MASK, mask)
+        .when(encoding == IUPAC_VALID, valid)
+        .when(encoding == IUPAC_VALID_GAP, F.when(bitmap(1) == 1, a.IUPAC_MASKS["-"]).otherwise(valid))
+        .when(encoding == BYTES, _bits(data, 8 * i, 8))
+        .otherwise(_bits(data, 5 * i, 5))
+    )
 
 
 unpack_nucleotide_2bit = unpack_nucleotide_exact_5bit = unpack_nucleotide_iupac_masks_5bit = unpack_nucleotide_iupac_target = unpack_protein_5bit = symbol_at

@@ -11,7 +11,6 @@ from ..plans.pattern import SearchQuery
 from ..plans.session import share_code
 
 
-
 class SearchHits:
     """search_hits(sequence, pattern, ambig_mode): strand, start, end, matched."""
 
@@ -26,6 +25,3 @@ class SearchHits:
 def register(spark: SparkSession, name: str = "search_hits") -> None:
     share_code(spark)
     spark.udtf.register(name, F.udtf(SearchHits, returnType="strand string, start long, end long, matched string"))
-
-
-

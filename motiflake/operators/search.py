@@ -24,14 +24,15 @@ CHUNK = 1_000_000
 _HIT = "array<struct<strand:string,at:int,matched:string>>"
 
 
-def _hits(text: Column, strand: str, regex: str) -> Column:
+def _hits(text: Column, strand: str, regex: str, m: int) -> Column:
     """Starts (from 1) and texts of all hits in a block, those that overlap too."""
     # Java drops an empty first part, so '#', in no alphabet, comes first; it makes the sum of lengths count from 1.
-    lengths = F.transform(F.split(F.concat(F.lit("#"), text), f"(?={regex})", -1), F.length)
-    matched = F.regexp_extract_all(text, F.lit(f"(?=({regex}))"), F.lit(1))
-    hits = F.zip_with(running_sums(lengths), matched, lambda at, x: F.struct(F.lit(strand).alias("strand"), at.alias("at"), x.alias("matched")))
+    parts = F.transform(F.split(F.concat(F.lit("#"), text), f"(?={regex})", -1), F.length)
     # What follows the last hit is a part too, without a hit of its own.
-    return F.when(text.rlike(regex), F.filter(hits, lambda h: h["matched"].isNotNull())).otherwise(F.array().cast(_HIT))
+    starts = running_sums(F.slice(parts, F.lit(1), F.size(parts) - 1))
+    raw = text.cast("binary")  # valid text is ASCII: bytes are cut without walking the text
+    hits = F.transform(starts, lambda at: F.struct(F.lit(strand).alias("strand"), at.alias("at"), F.substring(raw, at, F.lit(m)).cast("string").alias("matched")))
+    return F.when(text.rlike(regex), hits).otherwise(F.array().cast(_HIT))
 
 
 def _cut(text: Column, first: Column, total: Column, size: int, m: int) -> Column:
@@ -71,7 +72,7 @@ def search(records: DataFrame, query: SearchQuery, *, jobs: int = 1, chunk_size:
         rows = rows.select("record", *keys, "n", F.explode(_cut(F.col("c.text"), F.col("c.off"), F.length("c.text") - F.lit(m - 1), block, m)).alias("b"))
     else:
         rows = rows.select("record", *keys, "n", F.explode(_cut(F.col("text"), F.lit(0).cast("long"), F.col("total"), block, m)).alias("b"))
-    rows = rows.select("record", *keys, "n", "b.off", F.inline(F.concat(*[_hits(F.col("b.text"), s, rx) for s, rx in query.strands])))
+    rows = rows.select("record", *keys, "n", "b.off", F.inline(F.concat(*[_hits(F.col("b.text"), s, rx, m) for s, rx in query.strands])))
     last = F.col("off") + F.col("at") + (m - 2)  # of the hit, from 0, before it wraps
     out = {
         "start": F.col("off") + F.col("at"),

@@ -7,6 +7,7 @@ finds its hits.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,10 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alphabets as a
+from ..functions import codecs as c
 from ..functions import packing as p
 from ..operators.search import count_hits, search, search_many
 from ..sources import tsv
 from .pattern import SearchQuery
+from .planner import plan
+from .session import scratch, share_code, spread
 
 PROTEIN_LETTERS = "ACDEFGHIKLMNPQRSTVWYBJZXUO"
 LETTERS = {"nt": "ACGTNRY", "dna": "ACGT", "rna": "ACGU", "gap": "ACGTN.-", "aa": PROTEIN_LETTERS}
@@ -28,9 +32,13 @@ def _class(letters: str) -> str:
     return plain + plain.lower() + "".join("\\" + x for x in letters if x in "-.")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
 def records(spark: SparkSession, sf_dir: str, kind: str = "nt") -> DataFrame:
     """name and sequence of every document: its text's letters of that kind."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(_documents(spark, sf_dir))
     return docs.select(F.col("doc_id").cast("string").alias("name"), F.upper(F.regexp_replace("text", f"[^{_class(LETTERS[kind])}]", "")).alias("sequence"))
 
 
@@ -114,20 +122,21 @@ def _codes_sql(kind: str, table: dict[str, int]) -> str:
     return f"WITH {_sql_records(kind)} SELECT record, CASE WHEN s = '' THEN '' ELSE array_to_string(list_transform(string_split(s, ''), lambda x: (MAP {{{pairs}}})[x]), '') END AS codes FROM r"
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("record"), F.regexp_replace("text", r"[^A-Za-z \n]", "").alias("x"))
-
-
-_RAW_SQL = r"r AS (SELECT CAST(doc_id AS VARCHAR) AS record, regexp_replace(text, '[^A-Za-z \n]', '', 'g') AS x FROM documents)"
+#: White space of every sort, put in for blanks by the letter before them.
+_ODD_BLANKS = {"e": "\t", "n": "\x1c", "s": "\u2003", "t": "\x85", "r": "\xa0\r\n"}
 
 
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark, sf_dir).select("record", a.normalize(F.col("x")).alias("sequence"))
+    x = F.regexp_replace("text", r"[^A-Za-z \n]", "")
+    for letter, blank in _ODD_BLANKS.items():
+        x = F.replace(x, F.lit(letter + " "), F.lit(letter + blank))
+    return spread(_documents(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("record"), a.normalize(x).alias("sequence"))
 
 
 def _first_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = a.first_invalid(a.normalize(F.col("x")), a.EXACT)
-    return _raw(spark, sf_dir).select("record", bad["symbol"].alias("symbol"), bad["position"].alias("position"))
+    """Of whole texts: the first symbol that is no nucleotide."""
+    bad = a.first_invalid(a.normalize(F.col("text")), a.EXACT)
+    return spread(_documents(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("record"), bad["symbol"].alias("symbol"), bad["position"].alias("position"))
 
 
 def _target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +158,11 @@ FROM q"""
 
 
 def _packed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nt, aa = records(spark, sf_dir, "gap"), records(spark, sf_dir, "aa").select("name", F.col("sequence").alias("protein"))
+    letters = lambda kind: F.upper(F.regexp_replace("text", f"[^{_class(LETTERS[kind])}]", ""))
+    rows = spread(_documents(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("record"), letters("gap").alias("nt"), letters("aa").alias("aa"))
     size = lambda target: F.octet_length(target["data"]).cast("long")
-    sizes = {m: size(p.encode_target(F.col("sequence"), ambig_mode=m)) for m in ("none", "query", "both")}
-    return nt.join(aa, "name").select(F.col("name").alias("record"), *[v.alias(f"bytes_{m}") for m, v in sizes.items()], size(p.encode_target(F.col("protein"), a.AMINO_ACID)).alias("bytes_protein"))
+    targets = {f"bytes_{m}": p.encode_target(F.col("nt"), ambig_mode=m) for m in ("none", "query", "both")} | {"bytes_protein": p.encode_target(F.col("aa"), a.AMINO_ACID)}
+    return rows.select("record", *[size(t).alias(n) for n, t in targets.items()])
 
 
 _SIZE_SQL = f"""WITH {_sql_records("gap")}, aa AS (SELECT CAST(doc_id AS VARCHAR) AS record, CAST(length(regexp_replace(text, '[^{_class(PROTEIN_LETTERS)}]', '', 'g')) AS BIGINT) AS k FROM documents),
@@ -176,7 +186,7 @@ def _unpack(kind: str, pack: Callable[[Column], Column]) -> Callable[[SparkSessi
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = records(spark, sf_dir, kind).select(F.col("name").alias("record"), pack(F.col("sequence")).alias("t"))
-        return rows.select("record", F.array_join(F.transform(p.codes(F.col("t")), lambda c: F.lpad(F.hex(c), 2, "0")), "").alias("codes"))
+        return rows.select("record", F.hex(p.code_bytes(F.col("t"))).alias("codes"))
 
     return run
 
@@ -210,47 +220,181 @@ def _counts_sql() -> str:
 SELECT r.record, t.strand, CAST(count(h.start) AS BIGINT) AS n_hits FROM r CROSS JOIN t LEFT JOIN h ON h.record = r.record AND h.strand = t.strand GROUP BY ALL"""
 
 
-def _parsed(fmt: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Documents written as files of the format, read back by the data source."""
+def _fasta(name: str, sequence: str) -> Column:
+    return F.concat(F.lit(">"), F.col(name), F.lit(" a description\n"), F.regexp_replace(sequence, "(.{70})", "$1\n"))
+
+
+def _put(rows: DataFrame, text: Column, name: str, gz: bool = False) -> str:
+    """The rows' texts as files in a new folder, removed with the session."""
+    path = scratch(rows.sparkSession, name)
+    rows.select(text.alias("value")).write.option("compression", "gzip" if gz else "none").text(path)
+    return path
+
+
+def _parsed(fmt: str, gz: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """Documents written as files of the format, read back by the data source. FASTA records may be empty. FASTQ records
+    spread over lines with blank lines before them; quality lines begin with any symbol, @ and + too."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from ..sources.fastx import read_fastx
-        from .session import scratch
-
-        body = F.regexp_replace("sequence", "(.{70})", "$1\n")
-        if fmt == "fasta":
-            text = F.concat(F.lit(">"), F.col("name"), F.lit(" a description\n"), body)
-        else:
-            text = F.concat(F.lit("@"), F.col("name"), F.lit("\n"), body, F.lit("\n+\n"), F.regexp_replace(body, ".", "@"))
-        rows = records(spark, sf_dir, "dna").filter("sequence <> ''")
-        path = scratch(spark, fmt)
-        rows.select(text.alias("value")).write.text(path)
-        return read_fastx(spark, path, fmt).select(F.col("name").alias("record"), "sequence")
+        from ..sources.fastx import SequenceFileReader
+
+        rows, text = records(spark, sf_dir, "dna"), _fasta("name", "sequence")
+        if fmt == "fastq":
+            rows = rows.filter("sequence <> ''")
+            body = F.regexp_replace("sequence", "(.{70})", "$1\n")
+            text = F.concat(F.lit("\n\n@"), F.col("name"), F.lit("\n"), body, F.lit("\n+\n"), F.translate(body, "ACGT", "@+!>"))
+        return SequenceFileReader(_put(rows, text, fmt, gz), fmt).read(spark).select(F.col("name").alias("record"), "sequence")
 
     return run
 
 
-_PARSED_SQL = f"WITH {_sql_records('dna')} SELECT record, s AS sequence FROM r WHERE s <> ''"
+def _parsed_sql(empty: bool) -> str:
+    return f"WITH {_sql_records('dna')} SELECT record, s AS sequence FROM r" + ("" if empty else " WHERE s <> ''")
 
 
 def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """infer_format() as a column, over names made from nations."""
+    """infer_format() of names made from nations, null where it raises."""
+    from ..sources.fastx import infer_format
+
+    def known(name: str) -> str | None:
+        try:
+            return infer_format(name)
+        except ValueError:
+            return None
+
     names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.col("n_name"), F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("n_nationkey") % len(_ENDINGS) + 1).cast("int"))).alias("file"))
-    kind = F.regexp_extract(F.regexp_replace(F.lower("file"), r"\.gz$", ""), r"\.([^.]*)$", 1)
-    return names.select("file", F.when(kind.isin("fa", "fasta", "fna", "ffn", "frn"), "fasta").when(kind.isin("fq", "fastq"), "fastq").alias("format"))
+    share_code(spark)
+    return names.select("file", F.udf(known, "string")("file").alias("format"))
 
 
 _ENDINGS = (".fa", ".FASTA", ".fna.gz", ".FQ.GZ", ".fastq", ".txt", ".faa", "")
 _FORMATS_SQL = """WITH q AS (SELECT n_name || (['.fa', '.FASTA', '.fna.gz', '.FQ.GZ', '.fastq', '.txt', '.faa', ''])[n_nationkey % 8 + 1] AS file FROM nation)
 SELECT file, CASE WHEN regexp_matches(lower(file), '\\.(fa|fasta|fna|ffn|frn)(\\.gz)?$') THEN 'fasta' WHEN regexp_matches(lower(file), '\\.(fq|fastq)(\\.gz)?$') THEN 'fastq' END AS format FROM q"""
 
+#: A pattern with few hits: what the command line prints goes through the driver.
+_RARE = "TACATACA"
+
+
+def _cli(*argv: str) -> tuple[int, str]:
+    from .. import cli
+
+    out = io.StringIO()
+    try:
+        return cli.run(cli.parse_args(argv), out), out.getvalue()
+    except SystemExit as e:
+        return int(e.code or 0), out.getvalue()
+
+
+def _command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line prints for all documents as FASTA: the header, then hits."""
+    rows = records(spark, sf_dir)
+    path = _put(rows, _fasta("name", "sequence"), "cli")
+    _, printed = _cli(_RARE, path, "--format", "fasta", "--with-header", "--revcomp", "-j", "2", "--chunk-size", "5000")
+    return spark.createDataFrame([(x,) for x in printed.splitlines()], "line string")
+
+
+_RARE_SEARCH = _find("nt", _RARE, _RARE, "TGTATGTA", revcomp=True)
+_LINE_SQL = """concat_ws(chr(9), record, strand, start, "end", matched, CAST(circular AS VARCHAR)) AS line"""
+_HEADER_SQL = """SELECT concat_ws(chr(9), 'record', 'strand', 'start', 'end', 'matched', 'circular') AS line"""
+
+
+def _header_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits written as one file with a header, read back as lines."""
+    path = scratch(spark, "tsv")
+    tsv.write(_RARE_SEARCH(spark, sf_dir), path, header=True)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+#: Arguments after the pattern and the input, and the code that the command ends with.
+_CALLS = (
+    ("ACGT", ""), ("ACGT", "--ambig"), ("ACGT", "--revcomp --circular"), ("ACGT", "--ambig --ambig-mode both"), ("ACGT", "-t amino-acid --revcomp"), ("ACGT", "-t amino-acid --ambig-mode query"),
+    ("ACGT", "--jobs 0"), ("ACGT", "--chunk-size 0"), ("ACGT", "--format bam"), ("ACX", ""), ("ACGT", "--version"), ("ACGT", "--unknown"),
+)
+_CALLS_SQL = f"""SELECT * FROM (VALUES {", ".join(f"('{pattern}', '{args}', {code})" for (pattern, args), code in zip(_CALLS, (0, 0, 0, 2, 2, 2, 2, 2, 2, 1, 0, 2), strict=True))}) AS t(pattern, args, code)"""
+
+
+def _exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes of the command line, whose messages are dropped. Regions stand for records: their letters A, C, G and T."""
+    import contextlib
+
+    from .. import cli
+
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("name"), F.regexp_replace("r_name", "[^ACGT]", "").alias("sequence"))
+    path, out = _put(regions, _fasta("name", "sequence"), "cli"), []
+    for pattern, args in _CALLS:
+        given = args.split() if "--format" in args else [*args.split(), "--format", "fasta"]
+        with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+            try:
+                code = cli.main([pattern, path, *given])
+            except SystemExit as e:
+                code = int(e.code or 0)
+        out.append((pattern, args, code))
+    return spark.createDataFrame(out, "pattern string, args string, code int")
+
+
+def _udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over the sequences of documents."""
+    from ..functions.udtf import register
+
+    register(spark)
+    rows = records(spark, sf_dir)
+    return spark.sql("SELECT r.name AS record, h.strand, h.start, h.`end`, h.matched, false AS circular FROM {rows} r, LATERAL search_hits(r.sequence, 'TRCN', 'query') h", rows=rows)
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = SearchQuery("TRCN", revcomp=True, circular=True, ambig_mode="query")
+    return plan(query, jobs=3, chunk_size=900).search(records(spark, sf_dir))
+
+
+_PLANNED = _find("nt", "TRCN", "T[AG]C[ACGT]", "[ACGT]G[CT]A", revcomp=True, circular=True, ambig_mode="query")
+
+#: Codecs, the letters that they meet, and the fixed code or mask of a letter as a target.
+CODECS = {"exact": (c.NucleotideCodec(), "nt", a.EXACT_CODES), "query": (c.IupacNucleotideCodec(), "gap", a.TARGET_MASKS), "both": (c.IupacNucleotideCodec(allow_target_ambiguity=True), "gap", a.IUPAC_MASKS), "protein": (c.ProteinCodec(), "aa", a.PROTEIN_CODES)}
+
+
+def _symbol_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document and codec, the first, middle and last symbol of the packed target, each read by its place."""
+    parts = []
+    for name, (codec, kind, _) in CODECS.items():
+        rows = records(spark, sf_dir, kind).filter("sequence <> ''").select(F.col("name").alias("record"), codec.encode_target(F.lower("sequence")).column.alias("t"))
+        target = c.Target(F.col("t"))
+        last = target.length - 1
+        parts.append(rows.select("record", F.lit(name).alias("codec"), *[target.symbol_at(i).alias(n) for n, i in (("first", F.lit(0)), ("middle", F.floor(last / 2)), ("last", last))]))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _symbol_sql() -> str:
+    one = lambda at, table: f"(MAP {{{', '.join(f'{chr(39)}{s}{chr(39)}: {v}' for s, v in table.items())}}})[substr(s, {at}, 1)]"
+    return " UNION ALL ".join(
+        f"SELECT * FROM (WITH {_sql_records(kind)} SELECT record, '{name}' AS codec, {one('1', table)} AS first, {one('(length(s) - 1) // 2 + 1', table)} AS middle, {one('length(s)', table)} AS last FROM r WHERE s <> '')" for name, (_, kind, table) in CODECS.items()
+    )
+
+
+def _codec_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normalize, comparison_text and encode_query by codec objects, and which first symbols are compatible with N as a query
+    or target."""
+    nt, iupac = CODECS["exact"][0], CODECS["both"][0]
+    rows = records(spark, sf_dir, "nt").filter("sequence <> ''").select(F.col("name").alias("record"), F.regexp_replace(F.lower("sequence"), "(..)", "$1 ").alias("x"))
+    rows = rows.select("record", nt.normalize(F.col("x")).alias("normal"), nt.comparison_text(F.col("x")).alias("text"), F.hex(nt.encode_query(F.col("x"))).alias("codes"), iupac.encode_target(F.col("x")).column.alias("t"))
+    first = c.Target(F.col("t")).symbol_at(F.lit(0))
+    return rows.select("record", "normal", "text", "codes", iupac.compatible(first, F.lit(a.IUPAC_MASKS["R"])).alias("meets_r"), nt.compatible(first, F.lit(a.EXACT_CODES["A"])).alias("is_code_0"))
+
+
+def _codec_texts_sql() -> str:
+    meets = "".join(s for s in LETTERS["nt"] if a.IUPAC_MASKS[s] & a.IUPAC_MASKS["R"])
+    return f"SELECT t.record, s AS normal, s AS text, codes, contains('{meets}', substr(s, 1, 1)) AS meets_r, false AS is_code_0 FROM ({_codes_sql('nt', a.EXACT_CODES)}) t JOIN (WITH {_sql_records('nt')} SELECT * FROM r) u ON t.record = u.record WHERE s <> ''"
+
+
 _hexed = lambda f: lambda s: F.hex(f(s))
 OTHERS: dict[str, tuple[Callable, str]] = {
-    "normalize": (_normalize, rf"WITH {_RAW_SQL} SELECT record, upper(regexp_replace(x, '[ \n]', '', 'g')) AS sequence FROM r"),
+    "normalize": (_normalize, r"SELECT CAST(doc_id AS VARCHAR) AS record, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents"),
     "validate_first_bad": (
         _first_bad,
-        rf"""WITH {_RAW_SQL}, q AS (SELECT record, upper(regexp_replace(x, '[ \n]', '', 'g')) AS s FROM r), b AS (SELECT record, s, regexp_extract(s, '[^ACGTURYSWKMBDHVN]') AS c FROM q)
-SELECT record, CASE WHEN c <> '' THEN c END AS symbol, CASE WHEN c <> '' THEN CAST(length(regexp_extract(s, '^[ACGTURYSWKMBDHVN]*')) + 1 AS BIGINT) END AS position FROM b""",
+        r"""WITH q AS (SELECT CAST(doc_id AS VARCHAR) AS record, upper(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\pZ]+', '', 'g')) AS s FROM documents), b AS (SELECT record, s, regexp_extract(s, '[^ACGTURYSWKMBDHVN.-]') AS c FROM q)
+SELECT record, CASE WHEN c <> '' THEN c END AS symbol, CASE WHEN c <> '' THEN CAST(length(regexp_extract(s, '^[ACGTURYSWKMBDHVN.-]*')) + 1 AS BIGINT) END AS position FROM b""",
     ),
     "tu_fold": (_columns("rna", sequence=a.nucleotide_exact_text), f"WITH {_sql_records('rna')} SELECT record, replace(s, 'U', 'T') AS sequence FROM r"),
     "protein_text": (_columns("aa", sequence=a.protein_exact_text), f"WITH {_sql_records('aa')} SELECT record, s AS sequence FROM r"),
@@ -269,8 +413,18 @@ SELECT record, CASE WHEN c <> '' THEN c END AS symbol, CASE WHEN c <> '' THEN CA
     "unpack_protein_5bit": (_unpack("aa", p.pack_protein_5bit), _codes_sql("aa", a.PROTEIN_CODES)),
     "tsv_line": (_tsv, _tsv_sql()),
     "format_infer": (_formats, _FORMATS_SQL),
-    "fasta_parse": (_parsed("fasta"), _PARSED_SQL),
-    "fastq_parse": (_parsed("fastq"), _PARSED_SQL),
+    "fasta_parse": (_parsed("fasta"), _parsed_sql(True)),
+    "fasta_gzip": (_parsed("fasta", gz=True), _parsed_sql(True)),
+    "fastq_parse": (_parsed("fastq"), _parsed_sql(False)),
+    "fastq_gzip": (_parsed("fastq", gz=True), _parsed_sql(False)),
+    "tsv_header_file": (_header_file, f"{_HEADER_SQL} UNION ALL SELECT {_LINE_SQL} FROM ({_RARE_SEARCH.sql()})"),
+    "command_line": (_command_line, f"{_HEADER_SQL} UNION ALL SELECT {_LINE_SQL} FROM ({_RARE_SEARCH.sql()})"),
+    "command_line_exit_codes": (_exit_codes, _CALLS_SQL),
+    "planner_search": (_planned, _PLANNED.sql()),
+    "table_function": (_udtf, SEARCHES["iupac_query"].sql()),
+    "encode_iupac_alias": (_columns("nt", codes=_hexed(a.encode_nucleotide_iupac)), _codes_sql("nt", a.IUPAC_MASKS)),
+    "symbol_at": (_symbol_at, _symbol_sql()),
+    "codec_objects": (_codec_texts, _codec_texts_sql()),
     "ext_many_patterns": (_many, _many_sql()),
     "ext_hit_counts": (_counts, _counts_sql()),
 }

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def share_code(spark: SparkSession) -> None:
@@ -19,9 +19,28 @@ def share_code(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); one of our own where that is unset."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir), removed when the session ends. Where that is
+    unset, a folder of our own in local mode, an error on a cluster, whose executors don't see one another's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="motiflake-")
         spark.sparkContext.setCheckpointDir(found)
-    return f"{found}/motiflake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+    out = f"{found}/motiflake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return out
+
+
+#: Bytes of a table that is read again in parts if its files are fewer than the cores.
+SMALL = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, or if it is read from fewer files than there are cores and is small, its rows dealt to all cores: a file's rows
+    may be in one task otherwise. Large tables have splits enough and are left alone."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL and len(df.inputFiles()) < cores else df
