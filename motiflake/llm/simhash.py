@@ -29,15 +29,19 @@ SIMILAR_WORDS, SIMILAR = 5, (4, 5)
 #: similar(): for up to so many documents, segments of a fingerprint and bits of a segment. All find a pair of the least
 #: similarity with probability 0.99 (the chance that some segment differs by at most one bit); wider segments cost more
 #: variants, and keep buckets small where there are more documents.
-SCHEMES = ((1 << 27, 28, 20), (1 << 33, 44, 24), (1 << 62, 76, 28))
+SCHEMES = ((1 << 24, 28, 20), (1 << 28, 44, 24), (1 << 32, 76, 28), (1 << 62, 128, 32))
 #: Of 128 more bits, how many may differ; pairs of the least similarity differ in 19, with a deviation of 4.
 NEAR = 32
 #: Sets of fewer shingles are similar to no other set.
 LEAST = 4
 #: Links that one task verifies for a text, about: texts with more are sent to several.
 LINKS = 512
-#: Of a bucket with more members, only a spanning forest of its links leaves where links need no listing.
-SMALL = 16
+#: Members of a bucket whose pairs are compared together with those of other buckets; members compared at once in larger ones.
+SMALL, BLOCK = 64, 256
+#: Rounds in which each class has its nearest candidate verified.
+ROUNDS = 3
+#: Rows that one task makes of variants, about.
+TASK_ROWS = 4_000_000
 _CHUNK = 65_536  # shingles whose bits are counted at once
 _NAMES = ["no_id", "id_", "text_hash"]
 
@@ -132,36 +136,81 @@ def _variants(key: Column, other: Column, bits: int) -> Column:
 def _meetings(classes: DataFrame, width: int, near: list[str]) -> DataFrame:
     """sig, c and `near` of every variant of every segment of `classes` (c, near, segments of `width` bits); those of one sig
     lie together, in the order of c."""
-    half = width // 2
+    half, n = width // 2, classes.select(F.sum(F.size("segments"))).first()[0] or 0
     low, high = F.col("seg").bitwiseAND((1 << half) - 1), F.shiftright("seg", half)
     key = lambda side, value: F.shiftleft(F.col("at").cast("long") * 2 + side, half) + value
     sides = F.array(F.struct(key(0, high).alias("key"), low.alias("other")), F.struct(key(1, low).alias("key"), high.alias("other")))
     parts = classes.select("c", *near, F.posexplode("segments").alias("at", "seg")).select("c", *near, F.inline(sides))
-    return parts.repartition("key").select("c", *near, F.explode(_variants(F.col("key"), F.col("other"), half)).alias("sig")).select("sig", "c", *near).sortWithinPartitions("sig", "c")
+    # Variants make many rows of few: tasks are made for these.
+    tasks = max(1, 4 * classes.sparkSession.sparkContext.defaultParallelism, n * width // TASK_ROWS)
+    return parts.repartition(tasks, "key").select("c", *near, F.explode(_variants(F.col("key"), F.col("other"), half)).alias("sig")).select("sig", "c", *near).sortWithinPartitions("sig", "c")
 
 
 def _met(differ: int, listed: bool) -> Callable:
-    """Rows (sig, c, near ...), in order of sig, to links a, b: members of a bucket whose near bits differ in at most
-    `differ`. All of them (`listed`), or of buckets of more than SMALL members a spanning forest; some come more than once."""
-
-    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= differ
+    """Rows (sig, c, near ...), in order of sig, to links a, b, d: members of a bucket whose near bits differ in d, at most
+    `differ`. All of them (`listed`), or of each bucket a spanning forest of the nearest ones: what links of any d connect in
+    a bucket of up to BLOCK members, the forest's links of that d connect too. Some come more than once."""
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+    def weight(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """d, and of links of one d an order that is the same in every bucket: then forests agree where they can."""
+        return (d << 20) + ((a ^ b).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+    def forest(group: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Which of the links i, j of each group are in its forest: the nearest first, unless connected already."""
+        order, keep, parent, now = np.lexsort((w, group)), [], {}, None
+        for at, g, x, y in zip(order.tolist(), group[order].tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+            if g != now:
+                now, parent = g, {}
+            while (p := parent.get(x, x)) != x:
+                x = p
+            while (p := parent.get(y, y)) != y:
+                y = p
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                keep.append(at)
+        return np.array(keep, dtype=np.int64)
+
+    def nearest(c: np.ndarray, near: np.ndarray) -> list[np.ndarray]:
+        """The forest of one block, grown from a member to the nearest one that is left."""
+        w, none = weight(apart(near[:, None], near[None, :]), c[:, None], c[None, :]), (differ + 1) << 20
+        np.fill_diagonal(w, none)
+        out, left = [], w.min(axis=1) < none
+        while left.any():
+            at = int(left.argmax())
+            left[at] = False
+            best, source = np.where(left, w[at], none), np.full(len(c), at)
+            while best[at := int(best.argmin())] < none:
+                out.append((c[source[at]], c[at], best[at] >> 20))
+                left[at] = False
+                best[at] = none
+                closer = left & (w[at] < best)
+                best[closer], source[closer] = w[at][closer], at
+        return [np.array(out, dtype=np.int64)] if out else []
 
     def large(c: np.ndarray, near: np.ndarray) -> list[np.ndarray]:
         out, rest = [], np.arange(len(c))
         if listed:
             for i in range(len(c) - 1):
-                j = i + 1 + np.flatnonzero(close(near[i + 1 :], near[i]))
-                out.append(np.stack([np.full(len(j), c[i]), c[j]], axis=1))
+                d = apart(near[i + 1 :], near[i])
+                j = np.flatnonzero(d <= differ)
+                out.append(np.stack([np.full(len(j), c[i]), c[i + 1 + j], d[j]], axis=1))
             return out
-        while len(rest):
+        order = np.lexsort((c, *near.T[::-1]))
+        for at in range(0, len(c), BLOCK):
+            part = order[at : at + BLOCK]
+            out += nearest(c[part], near[part])
+        while len(c) > BLOCK and len(rest):  # what blocks leave apart
             found, rest = [int(rest[0])], rest[1:]
             while found and len(rest):
                 i = found.pop()
-                linked = close(near[rest], near[i])
-                j, rest = rest[linked], rest[~linked]
-                out.append(np.stack([np.full(len(j), c[i]), c[j]], axis=1))
-                found += j.tolist()
+                d = apart(near[rest], near[i])
+                linked = d <= differ
+                j = rest[linked]
+                out.append(np.stack([np.full(len(j), c[i]), c[j], d[linked]], axis=1))
+                found, rest = [*found, *j.tolist()], rest[~linked]
         return out
 
     def links(sig: np.ndarray, c: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -170,13 +219,25 @@ def _met(differ: int, listed: bool) -> Callable:
         out = [x for i in np.flatnonzero(size > SMALL) for x in large(c[starts[i] : starts[i] + size[i]], near[starts[i] : starts[i] + size[i]])]
         some = np.repeat((size > 1) & (size <= SMALL), size)
         sig, c, near = sig[some], c[some], near[some]
-        for d in range(1, SMALL):
-            i = np.flatnonzero(sig[d:] == sig[:-d])
+        found = []
+        for step in range(1, SMALL):
+            i = np.flatnonzero(sig[step:] == sig[:-step])
             if not len(i):
                 break
-            i = i[close(near[i], near[i + d])]
-            out.append(np.stack([c[i], c[i + d]], axis=1))
-        return np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
+            d = apart(near[i], near[i + step])
+            i, d = i[d <= differ], d[d <= differ]
+            found.append(np.stack([i, i + step, d], axis=1))
+        if found:
+            i, j, d = np.concatenate(found).T
+            if not listed and len(i):
+                keep = forest(sig[i], i, j, weight(d, c[i], c[j]))
+                i, j, d = i[keep], j[keep], d[keep]
+            out.append(np.stack([c[i], c[j], d], axis=1))
+        if not out:
+            return np.zeros((0, 3), np.int64)
+        both = np.concatenate(out)
+        both[:, :2] = np.sort(both[:, :2], axis=1)
+        return np.unique(both, axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -184,7 +245,7 @@ def _met(differ: int, listed: bool) -> Callable:
         def done(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
             sig, c, *near = (np.concatenate(x) for x in zip(*parts, strict=True))
             found = links(sig, c, np.stack(near, axis=1).view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found.T.copy()], ["a", "b", "d"])
 
         for b in batches:
             columns = [x.to_numpy() for x in b.columns]
@@ -202,11 +263,14 @@ def _met(differ: int, listed: bool) -> Callable:
     return lean(run)
 
 
+_LINK = "a long, b long, d long"
+
+
 def links(classes: DataFrame) -> DataFrame:
     """Pairs a < b of fingerprints (column fp, each once) that differ in 1 to DIFFER bits, each pair once."""
     share_code(classes.sparkSession)
     half = F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return _meetings(classes.select(F.col("fp").alias("c"), F.col("fp").alias("near"), half.alias("segments")), 32, ["near"]).mapInArrow(_met(DIFFER, True), "a long, b long").distinct()
+    return _meetings(classes.select(F.col("fp").alias("c"), F.col("fp").alias("near"), half.alias("segments")), 32, ["near"]).mapInArrow(_met(DIFFER, True), _LINK).select("a", "b").distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -291,8 +355,9 @@ def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """first (no_id, id_, text_hash of its least row), c and root of every class of `docs` (doc_id, text): texts of one set of
     five-word shingles are a class, root is one of the classes that links of similar sets lead to.
 
-    Candidates are pairs that meet under a variant and pass the comparison of 128 bits; each is verified by the shingles
-    themselves, first one for every class, then those that are not connected yet."""
+    Candidates are pairs that meet under a variant and pass the comparison of 128 bits, of each bucket a forest of the
+    nearest ones; each is verified by the shingles themselves: ROUNDS times the nearest of every class that it is not connected
+    with yet, then all that are left."""
     share_code(spark)
     n = docs.count()
     segments, width = next(x[1:] for x in SCHEMES if n <= x[0])
@@ -302,20 +367,35 @@ def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = rows.groupBy("c").agg(F.min(F.struct(*_NAMES)).alias("first"), *[F.min(x).alias(x) for x in ("near0", "near1", "segments")])
     classes = written(spark, classes, "classes")
     discard(spark, rows)
-    pairs = _meetings(classes.select("c", "near0", "near1", "segments"), width, ["near0", "near1"]).mapInArrow(_met(NEAR, False), "a long, b long")
-    pairs = written(spark, pairs.distinct(), "pairs")
+    pairs = _meetings(classes.select("c", "near0", "near1", "segments"), width, ["near0", "near1"]).mapInArrow(_met(NEAR, False), _LINK)
+    pairs = written(spark, pairs.groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     needed = classes.select("c", "first.*").join(ends, "c")
     texts = written(spark, docs.select(*keys, "text").join(needed, _NAMES).dropDuplicates(["c"]).select("c", "text"), "texts")
-    one = _verify(spark, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, "one")
-    roots = written(spark, components(spark, one), "roots")
-    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = _verify(spark, apart.select("a", "b"), texts, "more")
-    linked = components(spark, one.unionByName(more))
+    found, rest, linked = None, pairs, None
+    for round_ in range(ROUNDS + 1):
+        if round_ < ROUNDS:
+            ends = [rest.select("a", "b", "d", x, y).toDF("a", "b", "d", "end", "other") for x, y in (("a", "b"), ("b", "a"))]
+            chosen = ends[0].unionByName(ends[1]).groupBy("end").agg(F.min(F.struct("d", "other", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+            chosen = written(spark, chosen, "chosen")
+            left = rest.join(chosen, ["a", "b"], "left_anti")
+        else:
+            chosen, left = rest.select("a", "b"), None
+        good = _verify(spark, chosen, texts, "verified")
+        found = good if found is None else found.unionByName(good)
+        linked = written(spark, components(spark, found), "linked")
+        if left is None:
+            break
+        root = lambda end: linked.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))  # noqa: E731, B023
+        left = left.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        left = written(spark, left.select("a", "b", "d"), "left")
+        discard(spark, rest, chosen)
+        rest = left
+        if rest.isEmpty():
+            break
     out = classes.select("c", "first").join(linked, F.col("c") == F.col("node"), "left").select("first", "c", F.coalesce("root", "c").alias("root"))
     out = written(spark, out, "similar")
-    discard(spark, pairs, texts, one, more, roots, classes)
+    discard(spark, rest, texts, classes)
     return out
 
 

@@ -1,6 +1,8 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from motiflake.llm import simhash
@@ -151,26 +153,29 @@ def test_large_groups_of_near_copies_need_few_links(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in simhash.deduplicated(spark, docs).collect()] == [0]
     classes = docs.select("text").mapInArrow(simhash._signed(28, 20), "c long, near0 long, near1 long, segments array<long>").dropDuplicates(["c"])
-    pairs = simhash._meetings(classes, 20, ["near0", "near1"]).mapInArrow(simhash._met(simhash.NEAR, False), "a long, b long").distinct()
-    assert pairs.count() < 150 * 1500
+    pairs = simhash._meetings(classes, 20, ["near0", "near1"]).mapInArrow(simhash._met(simhash.NEAR, False), simhash._LINK).select("a", "b").distinct()
+    assert pairs.count() < 40 * 1500
 
 
-def test_forest_of_a_bucket_connects_what_all_its_links_connect():
-    import pyarrow as pa
-
+@pytest.mark.parametrize(("small", "block"), [(64, 256), (8, 256), (8, 16)])
+def test_forest_of_a_bucket_connects_what_all_its_links_connect(small, block, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(2)
     near = np.concatenate([rng.integers(0, 2**63, (3, 1)).repeat(20, axis=0) ^ (1 << rng.integers(0, 60, (60, 1))), rng.integers(0, 2**63, (30, 1))])
+    near[1::7] ^= 1 << rng.integers(0, 60, (len(near[1::7]), 1))
     sig = np.sort(rng.integers(0, 3, 90))
-    batch = pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.arange(90)), pa.array(near[:, 0])], ["sig", "c", "near"])
+    batch = pa.RecordBatch.from_arrays([pa.array(sig), pa.array(rng.permutation(90)), pa.array(near[:, 0])], ["sig", "c", "near"])
+    batch = batch.sort_by([("sig", "ascending"), ("c", "ascending")])
     found = {}
     for listed in (True, False):
         for size in (90, 7):
-            out = [(a, b) for r in simhash._met(3, listed)(iter([batch.slice(i, size) for i in range(0, 90, size)])) for a, b in zip(*(x.to_pylist() for x in r.columns), strict=True)]
-            found[listed, size] = out
-    assert sorted(found[True, 90]) == sorted(found[True, 7]) and sorted(found[False, 90]) == sorted(found[False, 7])
-    assert set(found[False, 90]) <= set(found[True, 90]) and len(found[False, 90]) < len(found[True, 90]) / 2
-    join = lambda edges: brute_groups(90, edges)
-    assert join(found[True, 90]) == join(found[False, 90])
+            found[listed, size] = sorted((a, b, d) for r in simhash._met(4, listed)(iter([batch.slice(i, size) for i in range(0, 90, size)])) for a, b, d in zip(*(x.to_pylist() for x in r.columns), strict=True))
+    assert found[True, 90] == found[True, 7] and found[False, 90] == found[False, 7]
+    links, forest = found[True, 90], found[False, 90]
+    assert set(forest) <= set(links) and len(forest) < len(links) / 2
+    for most in (1, 2, 3, 4) if block >= 90 else (4,):
+        assert brute_groups(90, [x[:2] for x in links if x[2] <= most]) == brute_groups(90, [x[:2] for x in forest if x[2] <= most])
 
 
 def brute_groups(n, edges):
