@@ -311,6 +311,6 @@ def accepted(spark: SparkSession, docs: DataFrame, model: Model | None, least: f
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: the language of every document, and its spans as start:end:lang, comma-joined."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     spans = F.array_join(F.transform("lang_spans", lambda x: F.concat_ws(":", x["start"], x["end"], x["lang"])), ",")
     return identify(spark, docs, fit(spark, docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", spans.alias("lang_spans"))

@@ -122,6 +122,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: digests of every document's stored form and fingerprint."""
     pairs = F.array_join(F.zip_with("times", "codes", lambda t, c: F.concat_ws(":", t, c)), ",")
     feature = F.concat_ws("-", F.size("codes"), F.sha2(pairs.cast("binary"), 256))
-    return with_media(spark, read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return with_media(spark, read(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature")
     )

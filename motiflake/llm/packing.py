@@ -243,5 +243,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: every piece of every document in its sequence. Only the ids' checksum goes through the exchange."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return packed(spark, digest(pieces(spark, docs)), _packers(docs))

@@ -174,4 +174,4 @@ def digest(found: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the spans of every document and their scores, one row per row of documents; nulls, long texts, repeats and empty
     tables as in find_spans()."""
-    return digest(find_spans(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return digest(find_spans(read(spark, sf_dir, "documents", "doc_id", "text")))

@@ -420,5 +420,5 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: fingerprint and component of every document."""
-    found = near_duplicates(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_duplicates(spark, read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
