@@ -79,7 +79,7 @@ def test_encoders(spark, encode, table):
 
 def test_errors(spark):
     df = spark.createDataFrame([("ATX",)], "s string")
-    for f, message in ((a.encode_nucleotide_exact, "Unsupported nucleotide symbol 'X' at position 3"), (a.encode_nucleotide_iupac_query, "IUPAC nucleotide query symbol 'X'"), (a.encode_nucleotide_iupac_target, "IUPAC nucleotide target symbol 'X'"), (p.pack_nucleotide_2bit, "only supports A, C, G, T, or U; found 'X'")):
+    for f, message in ((a.encode_nucleotide_exact, "Unsupported nucleotide symbol 'X' at position 3"), (a.encode_nucleotide_iupac_query, "IUPAC nucleotide query symbol 'X'"), (a.encode_nucleotide_iupac_target, "IUPAC nucleotide target symbol 'X'"), (p.pack_nucleotide_2bit, "only supports A, C, G, T, or U; found 'X' at position 3")):
         with pytest.raises(PySparkException, match=message):
             df.select(f(F.col("s"))).collect()
 
@@ -93,3 +93,18 @@ def test_normalize_drops_all_unicode_white_space(spark):
 def test_first_invalid(spark):
     df = spark.createDataFrame([("ACGX1",), ("ACG",), ("",)], "s string").select(a.first_invalid(F.col("s"), a.EXACT).alias("bad"))
     assert [r.bad and tuple(r.bad) for r in df.collect()] == [("X", 4), None, None]
+
+
+def test_codec_objects(spark):
+    from motiflake.functions import codecs as c
+
+    df = spark.createDataFrame([(" acg\nn-",)], "s string")
+    for codec, codes, name in ((c.NucleotideCodec(), a.EXACT_CODES, p.EXACT_5BIT), (c.IupacNucleotideCodec(), a.TARGET_MASKS, p.IUPAC_VALID_GAP), (c.IupacNucleotideCodec(allow_target_ambiguity=True), a.IUPAC_MASKS, p.IUPAC_5BIT), (c.ProteinCodec(), a.PROTEIN_CODES, p.PROTEIN_5BIT)):
+        target = codec.encode_target(F.col("s"))
+        r = df.select(codec.normalize(F.col("s")).alias("n"), codec.encode_query(F.col("s")).alias("q"), target.data.alias("d"), target.length.alias("l"), target.encoding.alias("e"), *[target.symbol_at(F.lit(i)).alias(f"s{i}") for i in range(5)]).first()
+        assert r.n == "ACGN-" and r.l == 5 and r.e == name and [r[f"s{i}"] for i in range(5)] == [codes[x] for x in "ACGN-"] and len(bytes(r.q)) == 5
+    assert c.NucleotideCodec().reverse_complement("ACN") == "NGT"
+    with pytest.raises(ValueError, match="only valid for nucleotide"):
+        c.ProteinCodec().reverse_complement("MA")
+    same, both = c.NucleotideCodec(), c.IupacNucleotideCodec()
+    assert df.select(same.compatible(F.lit(1), F.lit(3)), both.compatible(F.lit(1), F.lit(3))).first()[:] == (False, True)
