@@ -38,8 +38,8 @@ LEAST = 4
 LINKS = 512
 #: Members of a bucket whose pairs are compared together with those of other buckets; members compared at once in larger ones.
 SMALL, BLOCK = 64, 256
-#: Rounds in which each class has its nearest candidate verified.
-ROUNDS = 3
+#: Rounds in which each class has some of its nearest candidates verified: the nearest of each of FEW parts, by hash.
+ROUNDS, FEW = 1, 4
 #: Rows that one task makes of variants, about.
 TASK_ROWS = 4_000_000
 _CHUNK = 65_536  # shingles whose bits are counted at once
@@ -356,8 +356,8 @@ def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
     five-word shingles are a class, root is one of the classes that links of similar sets lead to.
 
     Candidates are pairs that meet under a variant and pass the comparison of 128 bits, of each bucket a forest of the
-    nearest ones; each is verified by the shingles themselves: ROUNDS times the nearest of every class that it is not connected
-    with yet, then all that are left."""
+    nearest ones; each is verified by the shingles themselves: ROUNDS times a few of the nearest of every class that it is not
+    connected with yet, then all that are left."""
     share_code(spark)
     n = docs.count()
     segments, width = next(x[1:] for x in SCHEMES if n <= x[0])
@@ -376,7 +376,7 @@ def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
     for round_ in range(ROUNDS + 1):
         if round_ < ROUNDS:
             ends = [rest.select("a", "b", "d", x, y).toDF("a", "b", "d", "end", "other") for x, y in (("a", "b"), ("b", "a"))]
-            chosen = ends[0].unionByName(ends[1]).groupBy("end").agg(F.min(F.struct("d", "other", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+            chosen = ends[0].unionByName(ends[1]).groupBy("end", F.pmod(F.xxhash64("other"), F.lit(FEW))).agg(F.min(F.struct("d", "other", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
             chosen = written(spark, chosen, "chosen")
             left = rest.join(chosen, ["a", "b"], "left_anti")
         else:
