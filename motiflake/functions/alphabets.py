@@ -72,6 +72,20 @@ def normalize(sequence: Column) -> Column:
     return F.upper(F.regexp_replace(sequence, _BLANK, ""))
 
 
+#: Symbols whose upper-case form has several, and what stands for them where a symbol must stay one: a single upper- or
+#: title-case symbol where there is one, else the symbol itself.
+_LONGER = {c: {"ß": "ẞ"}.get(c, c.title() if len(c.title()) == 1 else c) for c in map(chr, range(0x110000)) if len(c.upper()) > 1}
+
+
+def normalize_by_symbol(sequence: Column) -> Column:
+    """As normalize(), but every symbol stays one, also those whose upper-case form has several (ß gives ẞ, not SS): places count
+    the symbols of the text."""
+    longer = "".join(_LONGER)
+    parts = F.split(F.regexp_replace(sequence, _BLANK, ""), f"(?<=[{longer}])|(?=[{longer}])")
+    one = lambda x: F.when(x.rlike(f"[{longer}]"), F.translate(x, longer, "".join(_LONGER.values()))).otherwise(F.upper(x))
+    return F.array_join(F.transform(parts, one), "")
+
+
 def first_invalid(sequence: Column, alphabet: Alphabet) -> Column:
     """struct(symbol, position) of the first symbol outside the alphabet, null if there is none. Input: normalised."""
     symbol = F.regexp_extract(sequence, f"({alphabet.outside})", 1)

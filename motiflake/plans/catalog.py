@@ -137,8 +137,8 @@ def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of whole texts: the first symbol that is no nucleotide."""
-    bad = a.first_invalid(a.normalize(F.col("text")), a.EXACT)
+    """Of whole texts: the first symbol that is no nucleotide, and its place among the text's symbols."""
+    bad = a.first_invalid(a.normalize_by_symbol(F.col("text")), a.EXACT)
     return spread(_documents(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("record"), bad["symbol"].alias("symbol"), bad["position"].alias("position"))
 
 
