@@ -6,9 +6,11 @@ left out; fingerprints meet by equality of a variant and are verified. The excha
 that differ by one bit agree on one side; variants of the other half are made after it. Fingerprints, not documents,
 are indexed: copies join a class before.
 
-near_duplicates() links 64-bit fingerprints of three-word shingles that differ in at most 3 bits. similar() finds sets of
-five-word shingles of a Jaccard similarity of 0.8 or more: there bits differ with probability 0.15, so fingerprints are wider
-and have more segments; 128 other bits are compared before the shingles themselves decide.
+near_duplicates() links 64-bit fingerprints of three-word shingles that differ in at most 3 bits. similar() links sets of
+five-word shingles of a Jaccard similarity of 0.8 or more, all of them: in one order of all shingles, rare ones first, two such
+sets share one among the first fifth of each. Sets that meet there and whose fingerprints are not far apart connect to
+clusters, and within a cluster the shingles themselves decide on every pair that isn't connected by links found already.
+Optionally sets meet under segments of wider fingerprints, which costs the same for texts of any length, and misses some.
 """
 
 from __future__ import annotations
@@ -26,7 +28,16 @@ from .common import discard, lean, read, share_code, written
 DIFFER, WORDS, SEED = 3, 3, 42
 #: similar(): words of a shingle, least similarity as a fraction.
 SIMILAR_WORDS, SIMILAR = 5, (4, 5)
-#: similar(): for up to so many documents, segments of a fingerprint and bits of a segment. All find a pair of the least
+#: similar(): words of 64 bits of a set's fingerprint, and how many bits may differ where sets meet. Pairs of the least
+#: similarity differ in 38 of 256, with a deviation of 6 (sets of 4 and 5 shingles in 48): one in 10^10 or fewer differs in
+#: more. Sets without common shingles differ in 128, with a deviation of 8.
+WIDE, APART = 4, 88
+#: Shingles that several of about SAMPLE texts hold, at most COMMON of them, come last in the order. It decides how many
+#: sets meet, not which links are found.
+SAMPLE, COMMON, SEVERAL = 1 << 15, 1 << 16, 3
+#: Characters of a cluster's block, about: one task compares two blocks.
+BLOCK_CHARS = 1 << 20
+#: similar() by segments: for up to so many documents, segments of a fingerprint and bits of a segment. All find a pair of the least
 #: similarity with probability 0.99 (the chance that some segment differs by at most one bit); wider segments cost more
 #: variants, and keep buckets small where there are more documents.
 SCHEMES = ((1 << 24, 28, 20), (1 << 28, 44, 24), (1 << 32, 76, 28), (1 << 62, 128, 32))
@@ -38,8 +49,8 @@ LEAST = 4
 LINKS = 512
 #: Members of a bucket whose pairs are compared together with those of other buckets; members compared at once in larger ones.
 SMALL, BLOCK = 64, 256
-#: Rounds in which each class has some of its nearest candidates verified: the nearest of each of FEW parts, by hash.
-ROUNDS, FEW = 1, 4
+#: Of the candidates of each class, the nearest of each of FEW parts, by hash, are verified before clusters are.
+FEW = 4
 #: Rows that one task makes of variants, about.
 TASK_ROWS = 4_000_000
 _CHUNK = 65_536  # shingles whose bits are counted at once
@@ -102,30 +113,74 @@ def wide(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (2 * total > len(hashes)).astype(np.uint8)
 
 
-def _signed(segments: int, width: int) -> Callable:
-    """The last column, text, gives way to its class (a hash of the set), 128 bits and the segments (none of a small set)."""
+def _sets(nears: int, bits: int, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable:
+    """The last column, text, gives way to its class (a hash of the set), words of 64 bits of its fingerprint, and keys of the
+    set and its fingerprint (none of a small set)."""
     import xxhash
 
-    power = 1 << np.arange(width)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            classes, near, cut = [], np.zeros((b.num_rows, 2), np.int64), []
+            classes, near, cut = [], np.zeros((b.num_rows, nears), np.int64), []
             for i, t in enumerate(b.columns[-1]):
                 s = shingles(t.as_py())
                 classes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED) - 2**63)
                 if len(s) < LEAST:
                     cut.append([])
                     continue
-                bits = wide(s, 128 + segments * width)
-                near[i] = np.packbits(bits[:128]).view(">i8")
-                cut.append(bits[128 : 128 + segments * width].reshape(segments, width) @ power)
-            new = [pa.array(classes, pa.int64()), pa.array(near[:, 0]), pa.array(near[:, 1]), pa.array(cut, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], "c", "near0", "near1", "segments"])
+                f = wide(s, bits)
+                near[i] = np.packbits(f[: 64 * nears]).view(">i8")
+                cut.append(keys(s, f))
+            new = [pa.array(classes, pa.int64()), *map(pa.array, near.T.copy()), pa.array(cut, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], "c", *[f"near{i}" for i in range(nears)], "segments"])
 
     return run
 
 
+def _signed(segments: int, width: int) -> Callable:
+    """Classes with 128 bits and the segments of their fingerprints."""
+    power = 1 << np.arange(width)
+    return _sets(2, 128 + segments * width, lambda _, f: f[128 : 128 + segments * width].reshape(segments, width) @ power)
+
+
+def first_shingles(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first fifth of a set and one more, in the order of counts (0 of those not in `common`, which is sorted), then of
+    hashes: sets of the least similarity or more share one of them."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
+    return s[: len(s) + 1 - -(-len(s) * SIMILAR[0] // SIMILAR[1])]
+
+
+def _prefixed(common: np.ndarray, counts: np.ndarray) -> Callable:
+    """Classes with their fingerprints and first shingles."""
+    return _sets(WIDE, 64 * WIDE, lambda s, _: first_shingles(s, common, counts).view(np.int64))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingles(t.as_py()) for t in b.columns[0]]
+        found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["s", "n"])
+
+
+def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of about SAMPLE of the n texts, sorted, and how many of these hold them."""
+    parts = 1 << 30
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < min(parts, SAMPLE * parts // max(n, 1))).select("text")
+    counts = some.mapInArrow(lean(_counted), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= SEVERAL)
+    found = counts.orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    s, n = found["s"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def _meeting(classes: DataFrame, near: list[str]) -> DataFrame:
+    """sig, c and `near` of every key in `segments` of `classes`; those of one sig lie together, in the order of c."""
+    n = classes.select(F.sum(F.size("segments"))).first()[0] or 0
+    tasks = max(1, 4 * classes.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS)
+    return classes.select(F.explode("segments").alias("sig"), "c", *near).repartition(tasks, "sig").sortWithinPartitions("sig", "c")
+
+
 def _variants(key: Column, other: Column, bits: int) -> Column:
     """Of the half `other` of a segment, the variants with one bit left out, each with `key`."""
     at = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j)
@@ -351,51 +406,114 @@ def _verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame, name: str)
     return written(spark, rows.mapInArrow(lean(_verified), "a long, b long"), name)
 
 
-def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def joined(sets: list[np.ndarray], label: np.ndarray, given: np.ndarray) -> list[tuple[int, int]]:
+    """Places of links of similar sets that join what `label` holds apart: a forest of all links between labels. Sets that
+    are `given` share one label, and none is compared with another of them."""
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    _, ids, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(ids, kind="stable")]
+    start = np.cumsum(n) - n
+    group, out = np.unique(label, return_inverse=True)[1], []
+    for x in np.flatnonzero(~given):
+        own = ids[at[x] : at[x + 1]]
+        own = own[n[own] > 1]
+        before = np.cumsum(n[own]) - n[own]
+        places = np.repeat(start[own] - before, n[own]) + np.arange(n[own].sum())
+        same = np.bincount(holders[places], minlength=len(sets))
+        near = (same > 0) & (same * SIMILAR[1] >= (size[x] + size - same) * SIMILAR[0])
+        for y in np.flatnonzero(near & (group != group[x])):
+            if group[y] != group[x]:
+                out.append((int(x), int(y)))
+                group[group == group[y]] = group[x]
+    return out
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, i, j, c, label, given, text), a cluster's two blocks together, to links a, b of similar sets that join
+    labels."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        c, label, given, sets = zip(*held, strict=True)
+        links = joined(list(sets), np.array(label), np.array(given))
+        return pa.RecordBatch.from_arrays([pa.array([c[x[i]] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for rows in batches:
+        for cluster, i, j, c, label, given, text in zip(*rows.columns, strict=True):
+            key = (cluster.as_py(), i.as_py(), j.as_py())
+            if key != now and held:
+                yield done()
+                held = []
+            now = key
+            held.append((c.as_py(), label.as_py(), given.as_py(), shingles(text.as_py())))
+    if held:
+        yield done()
+
+
+def _settle(spark: SparkSession, clusters: DataFrame, linked: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links a, b that join what `linked` (node, root) leaves apart in each of `clusters` (node, root): every two texts of
+    a cluster are compared but for those that both belong to its largest group.
+
+    Members are dealt to blocks by hash, the largest group's (`given`) apart from the others; a task compares two blocks."""
+    members = clusters.select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+    members = members.unionByName(members.select(F.col("cluster").alias("c"), "cluster").distinct())
+    members = members.join(classes.select("c", "chars"), "c").join(linked.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("label", F.coalesce("root", "c"))
+    members = written(spark, members.select("cluster", "c", "label", "chars"), "members")
+    groups = members.groupBy("cluster", "label").agg(F.sum("chars").alias("chars"), F.count("*").alias("rows"))
+    blocks = lambda chars, rows: F.least(F.ceil(chars / BLOCK_CHARS), rows).cast("int")
+    apart = groups.groupBy("cluster").agg(F.max(F.struct("chars", "rows", "label")).alias("most"), F.sum("chars").alias("all_chars"), F.sum("rows").alias("all_rows")).filter(F.col("all_rows") > F.col("most.rows"))
+    others = blocks(F.col("all_chars") - F.col("most.chars"), F.col("all_rows") - F.col("most.rows"))
+    apart = apart.select("cluster", F.col("most.label").alias("main"), others.alias("others"), blocks(F.col("most.chars"), F.col("most.rows")).alias("mains"))
+    own = lambda k: F.pmod(F.xxhash64("c"), F.col(k)).cast("int")
+    dealt = members.join(apart, "cluster").withColumn("given", F.col("label") == F.col("main")).withColumn("own", F.when(F.col("given"), F.col("others") + own("mains")).otherwise(own("others")))
+    # Blocks of others come first; each meets all others and all of the largest group, which meet no other of their own.
+    with_ = F.when(F.col("given"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.filter(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1), lambda j: j != F.col("own")))
+    rows = dealt.join(texts, "c").withColumn("other", F.explode(with_))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "label", "given", "text")
+    rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "c")
+    out = written(spark, rows.mapInArrow(lean(_settled), "a long, b long"), "settled")
+    discard(spark, members)
+    return out
+
+
+def similar(spark: SparkSession, docs: DataFrame, exact: bool = True) -> DataFrame:
     """first (no_id, id_, text_hash of its least row), c and root of every class of `docs` (doc_id, text): texts of one set of
     five-word shingles are a class, root is one of the classes that links of similar sets lead to.
 
-    Candidates are pairs that meet under a variant and pass the comparison of 128 bits, of each bucket a forest of the
-    nearest ones; each is verified by the shingles themselves: ROUNDS times a few of the nearest of every class that it is not
-    connected with yet, then all that are left."""
+    Sets meet under their first shingles (or, unless `exact`, under variants of segments, which misses one in a hundred links
+    of the least similarity) and their fingerprints are compared: of each bucket a forest of the nearest is kept. A few of the
+    nearest of every class are verified by the shingles themselves. Then, in each cluster that the forests connect, every pair
+    is compared that these links leave apart."""
     share_code(spark)
     n = docs.count()
-    segments, width = next(x[1:] for x in SCHEMES if n <= x[0])
+    if exact:
+        sign, near = _prefixed(*_common(docs, n)), [f"near{i}" for i in range(WIDE)]
+    else:
+        segments, width = next(x[1:] for x in SCHEMES if n <= x[0])
+        sign, near = _signed(segments, width), ["near0", "near1"]
     keys = [k.alias(n) for k, n in zip(_keys(), _NAMES, strict=True)]
-    rows = docs.select(*keys, "text").mapInArrow(lean(_signed(segments, width)), ", ".join(f"{n} long" for n in [*_NAMES, "c", "near0", "near1"]) + ", segments array<long>")
+    rows = docs.select(*keys, F.coalesce(F.length("text").cast("long"), F.lit(0)).alias("chars"), "text").mapInArrow(lean(sign), ", ".join(f"{n} long" for n in [*_NAMES, "chars", "c", *near]) + ", segments array<long>")
     rows = written(spark, rows, "signed")
-    classes = rows.groupBy("c").agg(F.min(F.struct(*_NAMES)).alias("first"), *[F.min(x).alias(x) for x in ("near0", "near1", "segments")])
+    classes = rows.groupBy("c").agg(F.min(F.struct(*_NAMES)).alias("first"), *[F.min(x).alias(x) for x in ("chars", *near, "segments")])
     classes = written(spark, classes, "classes")
     discard(spark, rows)
-    pairs = _meetings(classes.select("c", "near0", "near1", "segments"), width, ["near0", "near1"]).mapInArrow(_met(NEAR, False), _LINK)
-    pairs = written(spark, pairs.groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
+    met = _meeting(classes, near).mapInArrow(_met(APART, False), _LINK) if exact else _meetings(classes.select("c", *near, "segments"), width, near).mapInArrow(_met(NEAR, False), _LINK)
+    pairs = written(spark, met.groupBy("a", "b").agg(F.min("d").alias("d")), "pairs")
     ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     needed = classes.select("c", "first.*").join(ends, "c")
     texts = written(spark, docs.select(*keys, "text").join(needed, _NAMES).dropDuplicates(["c"]).select("c", "text"), "texts")
-    found, rest, linked = None, pairs, None
-    for round_ in range(ROUNDS + 1):
-        if round_ < ROUNDS:
-            ends = [rest.select("a", "b", "d", x, y).toDF("a", "b", "d", "end", "other") for x, y in (("a", "b"), ("b", "a"))]
-            chosen = ends[0].unionByName(ends[1]).groupBy("end", F.pmod(F.xxhash64("other"), F.lit(FEW))).agg(F.min(F.struct("d", "other", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-            chosen = written(spark, chosen, "chosen")
-            left = rest.join(chosen, ["a", "b"], "left_anti")
-        else:
-            chosen, left = rest.select("a", "b"), None
-        good = _verify(spark, chosen, texts, "verified")
-        found = good if found is None else found.unionByName(good)
-        linked = written(spark, components(spark, found), "linked")
-        if left is None:
-            break
-        root = lambda end: linked.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))  # noqa: E731, B023
-        left = left.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        left = written(spark, left.select("a", "b", "d"), "left")
-        discard(spark, rest, chosen)
-        rest = left
-        if rest.isEmpty():
-            break
+    ends = [pairs.select("a", "b", "d", x, y).toDF("a", "b", "d", "end", "other") for x, y in (("a", "b"), ("b", "a"))]
+    chosen = ends[0].unionByName(ends[1]).groupBy("end", F.pmod(F.xxhash64("other"), F.lit(FEW))).agg(F.min(F.struct("d", "other", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    chosen = written(spark, chosen, "chosen")
+    found = _verify(spark, chosen, texts, "verified")
+    linked = written(spark, components(spark, found), "linked")
+    more = _settle(spark, components(spark, pairs.select("a", "b")), linked, classes, texts)
+    if not more.isEmpty():
+        linked = written(spark, components(spark, found.unionByName(more)), "linked")
     out = classes.select("c", "first").join(linked, F.col("c") == F.col("node"), "left").select("first", "c", F.coalesce("root", "c").alias("root"))
     out = written(spark, out, "similar")
-    discard(spark, rest, texts, classes)
+    discard(spark, pairs, chosen, texts, classes)
     return out
 
 
@@ -403,13 +521,13 @@ def _keys() -> list[Column]:
     return [F.col("doc_id").isNull().cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")]
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, exact: bool = True) -> DataFrame:
     """`docs` (doc_id, text and any others) with one row of each group that links of similar() connect: that of the least
     id, rows without id last; of rows that share it, that of the least text hash; of rows that share both, the least in
     the order of their other columns as JSON.
 
     Texts without words (null, empty, blanks) are alike; a text of any length counts whole; an empty table gives no rows."""
-    stay = written(spark, similar(spark, docs).groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "stay")
+    stay = written(spark, similar(spark, docs, exact).groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "stay")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for c, n in zip(_keys(), _NAMES, strict=True)])
     # Rows that share id and text differ in other columns only: one partial aggregate, no sort of whole rows.
     names = [f"v{i}" for i in range(len(docs.columns))]

@@ -198,3 +198,62 @@ def test_one_row_of_each_group_stays(spark):
     rows = [(3, words, "b"), (3, words, "a"), (5, words, "a"), (None, words, "a"), (None, other, "b"), (None, other, "a"), (7, "one more text", "a"), (7, "another text of the same id", "a"), (9, None, "a"), (10, "", "a")]
     kept = simhash.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted(kept, key=str) == sorted([(3, words, "a"), (None, other, "a"), (7, "one more text", "a"), (7, "another text of the same id", "a"), (9, None, "a")], key=str)
+
+
+def test_first_shingles_of_similar_sets_meet_in_any_order():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        n = int(rng.integers(4, 60))
+        pool = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
+        common = np.sort(rng.choice(pool, n, replace=False))
+        counts = rng.integers(1, 4, n)
+        a, b = rng.permutation(pool[:n]), pool[: n + n // 4]
+        for x, y in ((a, b), (a[: n - n // 5], a)):
+            x, y = np.sort(x), np.sort(y)
+            assert 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))
+            assert set(simhash.first_shingles(x, common, counts)) & set(simhash.first_shingles(y, common, counts))
+    assert len(simhash.first_shingles(np.arange(10, dtype=np.uint64), common[:0], counts[:0])) == 3
+
+
+@pytest.mark.parametrize("n_given", [0, 1, 25])
+def test_joined_connects_what_all_links_connect(n_given):
+    rng = np.random.default_rng(12)
+    seeds = [rng.integers(0, 2**62, int(rng.integers(20, 40)), dtype=np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.choice(seeds[k % 4], len(seeds[k % 4]) - int(rng.integers(0, 7)), replace=False), rng.integers(0, 2**62, int(rng.integers(0, 3)), dtype=np.uint64)])) for k in range(60)]
+    given = np.arange(60) < n_given
+    label = np.where(given, 0, np.arange(60))
+    links = [(i, j) for i in range(60) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    own = [(0, i) for i in range(1, n_given)]
+    found = simhash.joined(sets, label, given)
+    assert {(max(x), min(x)) for x in found} <= set(links) and len(found) < 60 and len(links) > 60
+    assert brute_groups(60, own + found) == brute_groups(60, own + [x for x in links if not (given[x[0]] and given[x[1]])])
+
+
+def test_every_pair_at_the_least_similarity_is_found(spark):
+    """Twelve words and the same with two more: 8 of 10 shingles in common. 184 words and the same with four others: 160 of 200."""
+    rng, rows = np.random.default_rng(13), []
+    for k in range(2000):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 184)]
+        other = list(words)
+        for at in (20, 60, 100, 140):
+            other[at] = f"new{k}"
+        short = k % 4 == 0
+        rows += [(2 * k, " ".join(words[:12] if short else words)), (2 * k + 1, " ".join(words[:14] if short else other))]
+    got = simhash.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 4000, 2))
+
+
+def test_groups_of_which_some_pairs_are_similar_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_CHARS", 5_000)
+    rng = np.random.default_rng(14)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+    rows = [(i, " ".join(edited(rng, words, int(rng.integers(1, 6))))) for i in range(150)]
+    linked = brute_links(rows)
+    assert 0.05 < len(linked) / (150 * 149 / 2) < 0.9 and 1 < len(brute_kept(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(spark, docs).collect()) == brute_kept(rows)
+
+
+def test_segments_find_most(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert sorted(r.doc_id for r in simhash.deduplicated(spark, docs, exact=False).collect()) == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
