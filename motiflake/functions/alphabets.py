@@ -81,9 +81,11 @@ def normalize_by_symbol(sequence: Column) -> Column:
     """As normalize(), but every symbol stays one, also those whose upper-case form has several (ß gives ẞ, not SS): places count
     the symbols of the text."""
     longer = "".join(_LONGER)
-    parts = F.split(F.regexp_replace(sequence, _BLANK, ""), f"(?<=[{longer}])|(?=[{longer}])")
+    plain = F.translate(F.regexp_replace(sequence, _BLANK, ""), "ß", "ẞ")  # ẞ has no other upper case
+    parts = F.split(plain, f"(?<=[{longer}])|(?=[{longer}])")
     one = lambda x: F.when(x.rlike(f"[{longer}]"), F.translate(x, longer, "".join(_LONGER.values()))).otherwise(F.upper(x))
-    return F.array_join(F.transform(parts, one), "")
+    # All but ß are rare and lie in these few ranges: other texts are not split.
+    return F.when(plain.rlike("[ŉǰΐΰև\u1e96-\u1e9a\u1f50-\u1fff\ufb00-\ufb17]"), F.array_join(F.transform(parts, one), "")).otherwise(F.upper(plain))
 
 
 def first_invalid(sequence: Column, alphabet: Alphabet) -> Column:
